@@ -192,14 +192,15 @@ def pruning(directory: DataFrame, routed: DataFrame, queries: DataFrame) -> Data
         F.count(F.lit(1)).alias("n_cells"), F.sum("n_items").alias("n_rows"), F.max("n_items").alias("largest_cell")
     )
     touched = routed.join(broadcast_if_small(directory.select("cell", "n_items"), BROADCAST_CELLS), "cell").agg(
-        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("rows")
+        F.struct(
+            F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("rows")
+        ).alias("touched")
     )
     asked = queries.agg(F.count(F.lit(1)).alias("num_queries"))
-    one = F.lit(1).alias("__one")
-    row = shape.select("*", one).join(touched.select("*", one), "__one").join(asked.select("*", one), "__one")
+    row = shape.select("*", touched.scalar().alias("touched"), asked.scalar().alias("num_queries"))
     n_queries = F.col("num_queries").cast("double")
-    per_query = F.when(n_queries > 0, F.col("cells") / n_queries).otherwise(F.lit(0.0))
-    rows_per_query = F.when(n_queries > 0, F.col("rows") / n_queries).otherwise(F.lit(0.0))
+    per_query = F.when(n_queries > 0, F.col("touched.cells") / n_queries).otherwise(F.lit(0.0))
+    rows_per_query = F.when(n_queries > 0, F.col("touched.rows") / n_queries).otherwise(F.lit(0.0))
     return row.select(
         "n_cells",
         "n_rows",
