@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.geometry import Box
-from ..plans.runtime import cut_lineage, row_count_up_to
+from ..plans.runtime import row_count_up_to
 
 TOP_LEVEL = 9  # one cell for everything
 LEVEL_FACTOR = 4.0
@@ -47,7 +47,7 @@ class JoinTuning:
     broadcast_rows: int = 500_000  # most expanded query rows to broadcast
     hot_rows: int = 2_000_000  # data rows of one cell or key above which it is split
     max_salts: int = 512
-    max_hot_keys: int = 4_096
+    max_hot_keys: int = 1_024
 
 
 DEFAULT_TUNING = JoinTuning()
@@ -60,17 +60,23 @@ def _and(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def hot_keys(data: DataFrame, keys: list[str], tuning: JoinTuning) -> DataFrame | None:
-    """The heaviest keys with their number of salts, at most ``max_hot_keys`` rows.
+def hot_keys(data: DataFrame, keys: list[str], tuning: JoinTuning) -> list[tuple[int, int]]:
+    """Digests of the heaviest keys with their number of salts.
 
-    Counts are combined before the shuffle.  Keys past the limit hold less than
-    ``1 / max_hot_keys`` of the data each, which a task can take.
+    One pass with a frequent-items sketch per task, so only sketches are shuffled.
+    The sketch decides where rows go, never which rows there are: a key it misses
+    holds a small share of the data, and a digest two keys share just salts both.
     """
-    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    heavy = counts.filter(F.col("__n") > tuning.hot_rows).orderBy(F.desc("__n")).limit(tuning.max_hot_keys)
-    salts = F.least(F.lit(tuning.max_salts), F.ceil(F.col("__n") / tuning.hot_rows)).cast("int")
-    heavy = cut_lineage(heavy.select(*keys, salts.alias("__salts")))
-    return None if heavy.isEmpty() else heavy
+    digest = F.xxhash64(*keys)
+    sketch = F.call_function(
+        "approx_top_k", digest, F.lit(tuning.max_hot_keys), F.lit(8 * tuning.max_hot_keys)
+    )
+    row = data.agg(sketch.alias("top")).first()
+    heavy = []
+    for item in row["top"] or []:
+        if item["item"] is not None and item["count"] > tuning.hot_rows:
+            heavy.append((item["item"], min(tuning.max_salts, -(-item["count"] // tuning.hot_rows))))
+    return heavy
 
 
 def join_on(
@@ -83,35 +89,34 @@ def join_on(
 ) -> DataFrame:
     """Inner equi-join of ``data`` with a query side; ``small`` says its size was checked.
 
-    Without ``small`` the hot keys are salted: a data row goes to one salt, the
-    query rows of a hot key to all of them.
+    Without ``small`` both sides are shuffled, and the hot keys are salted: a data
+    row goes to one salt, the query rows of a hot key to all of them.  The merge
+    hint keeps Spark from broadcasting a side by its size before expansion.
     """
     if small:
         return data.join(F.broadcast(queries), keys)
-    heavy = None if data.isStreaming else hot_keys(data, keys, tuning)
-    if heavy is None:
-        return data.join(queries, keys)
-    content = F.xxhash64(*[c for c in data.columns])
+    heavy = [] if data.isStreaming else hot_keys(data, keys, tuning)
+    if not heavy:
+        return data.join(queries if data.isStreaming else queries.hint("merge"), keys)
+    salts = F.broadcast(data.sparkSession.createDataFrame(heavy, "__digest bigint, __salts int"))
     # the partition id spreads identical copies as well; a re-run task has the same id
+    content = F.xxhash64(*data.columns) + F.spark_partition_id()
+    salt = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
+        F.pmod(content, F.col("__salts").cast("bigint")).cast("int")
+    )
     spread = (
-        data.join(F.broadcast(heavy), keys, "left")
-        .withColumn(
-            "__salt",
-            F.when(
-                F.col("__salts").isNotNull(),
-                F.pmod(content + F.spark_partition_id(), F.col("__salts").cast("bigint")),
-            )
-            .otherwise(F.lit(0).cast("bigint"))
-            .cast("int"),
-        )
-        .drop("__salts")
+        data.withColumn("__digest", F.xxhash64(*keys))
+        .join(salts, "__digest", "left")
+        .withColumn("__salt", salt)
+        .drop("__salts", "__digest")
     )
     copies = (
-        queries.join(F.broadcast(heavy), keys, "left")
+        queries.withColumn("__digest", F.xxhash64(*keys))
+        .join(salts, "__digest", "left")
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts")
+        .drop("__salts", "__digest")
     )
-    return spread.join(copies, [*keys, "__salt"]).drop("__salt")
+    return spread.join(copies.hint("merge"), [*keys, "__salt"]).drop("__salt")
 
 
 # -- grids with levels --------------------------------------------------------
@@ -137,6 +142,15 @@ class QueryGrid:
     levels: tuple[int, ...]
     own_rows: float  # query rows, counted on each query's own level
     guest_rows: float  # at most so many more for one row per covered cell of all coarser levels
+    reach: tuple[tuple[object, object], ...]  # per axis, the range outside which no query looks
+
+    def within_reach(self, lows: Sequence[Column], highs: Sequence[Column]) -> Column:
+        """Plain comparisons on the data's columns, so they are pushed into the scan."""
+        tests = []
+        for (first, last), low, high in zip(self.reach, lows, highs):
+            if first is not None and last is not None:
+                tests += [high >= F.lit(first), low <= F.lit(last)]
+        return _and(tests) if tests else F.lit(False)
 
 
 def _cell_number(v: Column, side: Column | float) -> Column:
@@ -152,8 +166,8 @@ def _own_level(axes: Sequence[Axis], sides: Sequence[float], most_cells: int) ->
     """
     spare = max(1.0, most_cells ** (1.0 / len(axes)) - 2.0)
     steps = [F.ceil(F.log(LEVEL_FACTOR, axis.extent / (side * spare))) for axis, side in zip(axes, sides)]
-    # log of an empty extent is null, of an endless one infinite: clamp before the cast
-    needed = [F.coalesce(F.least(s.cast("double"), F.lit(float(TOP_LEVEL))), F.lit(0.0)) for s in steps]
+    # log of an empty extent is null (and least() skips nulls), of an endless one infinite
+    needed = [F.least(F.coalesce(s.cast("double"), F.lit(0.0)), F.lit(float(TOP_LEVEL))) for s in steps]
     return F.greatest(F.lit(0.0), *needed).cast("int")
 
 
@@ -174,6 +188,8 @@ def plan_grid(queries: DataFrame, axes: Sequence[Axis], tuning: JoinTuning, *, m
             F.percentile_approx(known(axis.high.cast("double") - axis.low.cast("double")), 0.5, 1000).alias(f"m{i}"),
             F.min(known(axis.low)).alias(f"lo{i}"),
             F.max(known(axis.high)).alias(f"hi{i}"),
+            F.min(axis.low).alias(f"first{i}"),
+            F.max(axis.high).alias(f"last{i}"),
         ]
     stats = queries.agg(*measures).first()
     n_queries = stats["n"]
@@ -201,6 +217,7 @@ def plan_grid(queries: DataFrame, axes: Sequence[Axis], tuning: JoinTuning, *, m
         tuple(sorted(row["__level"] for row in used)) or (0,),
         sum(row["own_rows"] for row in used),
         sum(row["guest_rows"] for row in used),
+        tuple((stats[f"first{i}"], stats[f"last{i}"]) for i in range(len(axes))),
     )
 
 
@@ -295,7 +312,7 @@ def _range_match(
 ) -> DataFrame:
     """Rows of ``data`` whose position lies in a query's box."""
     grid = plan_grid(queries, axes, tuning, min_side=min_side)
-    located = _one_cell_side(data, values, grid)
+    located = _one_cell_side(data.filter(grid.within_reach(values, values)), values, grid)
     expanded = _own_cells_side(queries, axes, grid, tuning)
     small = grid.own_rows <= tuning.broadcast_rows
     met = join_on(located, expanded, _cell_keys(len(axes)), small=small, tuning=tuning)
@@ -408,7 +425,8 @@ def _overlap_match(
     data_axes = [Axis(norm.xmin, norm.xmax), Axis(norm.ymin, norm.ymax)]
     grid = plan_grid(queries, query_axes, tuning)
 
-    left = _box_side(data, data_axes, grid, tuning.data_cells, grid.levels, "__own")
+    near = data.filter(grid.within_reach([box.xmin, box.ymin], [box.xmax, box.ymax]))
+    left = _box_side(near, data_axes, grid, tuning.data_cells, grid.levels, "__own")
     # a data box may live on any coarser level, so queries show up on all of those
     right = _box_side(queries, query_axes, grid, tuning.query_cells, None, "__qown")
     right = right.drop("__side0", "__side1")
@@ -466,51 +484,3 @@ def match_rects_at_points(
     ).filter(F.col("__qxmin").isNotNull() & F.col("__qymin").isNotNull())
     predicate = g.contains_point(Box.of(*_DATA_BOX), "__qxmin", "__qymin")
     return _overlap_match(left, right, predicate, tuning).select("qid", "value")
-
-
-# -- least enlargement --------------------------------------------------------
-
-REGION_BLOCK = 4_096
-
-
-def least_enlargement(
-    data: DataFrame,
-    regions: DataFrame,
-    *,
-    sides: Sequence[str] = ("xmin", "ymin", "xmax", "ymax"),
-    value: str = "value",
-    region: str = "region",
-    region_sides: Sequence[str] = ("xmin", "ymin", "xmax", "ymax"),
-) -> DataFrame:
-    """``(value, region, enlargement)``: the region that grows least to take in each rectangle.
-
-    Ties go to the smaller region, then to the lower region id.  The region table
-    is read in blocks of bounded size, each handed to the tasks as one array, and
-    every block improves on the best so far; no rows are shuffled.
-    """
-    picked = data.select(F.col(value).alias("value"), *(F.col(s).alias(n) for s, n in zip(sides, _DATA_BOX)))
-    shaped = regions.select(
-        F.col(region).cast("bigint").alias("region"),
-        *(F.col(s).cast("double").alias(n) for s, n in zip(region_sides, _DATA_BOX)),
-    ).filter(_and([F.col(n).isNotNull() for n in _DATA_BOX]))
-    n_regions = shaped.count()
-    n_blocks = max(1, -(-n_regions // REGION_BLOCK))
-    item = Box.of(*_DATA_BOX)
-    best: Column | None = None
-    out = picked
-    for block in range(n_blocks):
-        part = shaped if n_blocks == 1 else shaped.filter(F.pmod(F.xxhash64("region"), F.lit(n_blocks)) == block)
-        listed = part.agg(F.collect_list(F.struct("region", *_DATA_BOX)).alias("all")).select("all").scalar()
-
-        def scored(r: Column) -> Column:
-            rbox = Box(*(r[n] for n in _DATA_BOX))
-            return F.struct(
-                g.enlargement(rbox, item).alias("enlargement"),
-                g.area(rbox).alias("area"),
-                r["region"].alias("region"),
-            )
-
-        found = F.array_min(F.transform(F.col("__regions"), scored))
-        best = found if best is None else F.least(F.col("__best"), found)
-        out = out.withColumn("__regions", listed).withColumn("__best", best).drop("__regions")
-    return out.select("value", F.col("__best.region").alias("region"), F.col("__best.enlargement").alias("enlargement"))
