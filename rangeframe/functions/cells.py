@@ -129,48 +129,77 @@ def with_quad_path(
     if not 0 <= depth <= MAX_QUAD_DEPTH:
         raise ValueError(f"depth must be in [0, {MAX_QUAD_DEPTH}]")
     keep = [F.col(f"`{c}`") for c in df.columns]
+    # an axis on which all data agree never splits, so it needs no midpoints
+    axes = [
+        _AxisDescent("x", x, bounds.xmin, bounds.xmax, 1),
+        _AxisDescent("y", y, bounds.ymin, bounds.ymax, 2),
+    ]
+    axes = [axis for axis in axes if axis.low < axis.high]
     state = df.select(
         *keep,
-        x.cast("double").alias("__px"),
-        y.cast("double").alias("__py"),
-        *(F.lit(getattr(bounds, side)).alias(f"__{side}") for side in ("xmin", "ymin", "xmax", "ymax")),
+        *(c for axis in axes for c in axis.start()),
         F.lit(0).cast("bigint").alias("__path"),
         F.lit(0 if bounds.is_point else None).cast("int").alias("__stop"),
     )
     for level in range(1, depth + 1):
         # two projections per level keep each midpoint a single expression
+        state = state.select("*", *(axis.middle() for axis in axes))
+        digit = F.lit(0)
+        for axis in axes:
+            digit = digit + axis.above.cast("int") * axis.weight
         state = state.select(
             *keep,
-            "__px",
-            "__py",
-            "__xmin",
-            "__ymin",
-            "__xmax",
-            "__ymax",
-            "__path",
+            *(c for axis in axes for c in axis.halved()),
+            (F.col("__path") * 4 + digit).alias("__path"),
             "__stop",
-            ((F.col("__xmin") + F.col("__xmax")) / 2.0).alias("__mx"),
-            ((F.col("__ymin") + F.col("__ymax")) / 2.0).alias("__my"),
         )
-        east, north = F.col("__px") > F.col("__mx"), F.col("__py") > F.col("__my")
-        state = state.select(
-            *keep,
-            "__px",
-            "__py",
-            F.when(east, F.col("__mx")).otherwise(F.col("__xmin")).alias("__xmin"),
-            F.when(north, F.col("__my")).otherwise(F.col("__ymin")).alias("__ymin"),
-            F.when(east, F.col("__xmax")).otherwise(F.col("__mx")).alias("__xmax"),
-            F.when(north, F.col("__ymax")).otherwise(F.col("__my")).alias("__ymax"),
-            (F.col("__path") * 4 + east.cast("int") + north.cast("int") * 2).alias("__path"),
-            "__stop",
-        )
-        if point_level is not None:
-            shrunk = (F.col("__xmin") == F.col("__xmax")) & (F.col("__ymin") == F.col("__ymax"))
+        if point_level is not None and axes:
+            shrunk = axes[0].shrunk if len(axes) == 1 else axes[0].shrunk & axes[1].shrunk
             state = state.withColumn("__stop", F.coalesce("__stop", F.when(shrunk, F.lit(level))))
     extra = [] if point_level is None else [F.col("__stop").alias(point_level)]
     return state.select(*keep, F.col("__path").alias(path), *extra)
 
 
+@dataclass(frozen=True)
+class _AxisDescent:
+    """Column names and steps of one axis of the quadtree descent."""
+
+    name: str
+    position: Column
+    low: float
+    high: float
+    weight: int
+
+    def _c(self, what: str) -> str:
+        return f"__{what}_{self.name}"
+
+    def start(self) -> list[Column]:
+        return [
+            self.position.cast("double").alias(self._c("at")),
+            F.lit(self.low).alias(self._c("low")),
+            F.lit(self.high).alias(self._c("high")),
+        ]
+
+    def middle(self) -> Column:
+        return ((F.col(self._c("low")) + F.col(self._c("high"))) / 2.0).alias(self._c("mid"))
+
+    @property
+    def above(self) -> Column:
+        return F.col(self._c("at")) > F.col(self._c("mid"))
+
+    @property
+    def shrunk(self) -> Column:
+        return F.col(self._c("low")) == F.col(self._c("high"))
+
+    def halved(self) -> list[Column]:
+        low, mid, high = (F.col(self._c(w)) for w in ("low", "mid", "high"))
+        return [
+            F.col(self._c("at")),
+            F.when(self.above, mid).otherwise(low).alias(self._c("low")),
+            F.when(self.above, high).otherwise(mid).alias(self._c("high")),
+        ]
+
+
 # -- shape arithmetic ---------------------------------------------------------
 
 

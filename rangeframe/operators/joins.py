@@ -427,10 +427,15 @@ def _overlap_match(
 
     near = data.filter(grid.within_reach([box.xmin, box.ymin], [box.xmax, box.ymax]))
     left = _box_side(near, data_axes, grid, tuning.data_cells, grid.levels, "__own")
-    # a data box may live on any coarser level, so queries show up on all of those
-    right = _box_side(queries, query_axes, grid, tuning.query_cells, None, "__qown")
+    # a data box may live on any coarser level, so queries show up on all of those; where that
+    # is too much to broadcast, one pass over the data's sides tells which levels it has
+    small, levels = grid.own_rows + grid.guest_rows <= tuning.broadcast_rows, None
+    if not small and not data.isStreaming:
+        own = _own_level(data_axes, grid.sides, tuning.data_cells)
+        levels = sorted(row["level"] for row in near.select(own.alias("level")).distinct().collect())
+    right = _box_side(queries, query_axes, grid, tuning.query_cells, levels, "__qown")
     right = right.drop("__side0", "__side1")
-    small = grid.own_rows + grid.guest_rows <= tuning.broadcast_rows or _is_small(right, tuning)
+    small = small or _is_small(right, tuning)
     met = join_on(left, right, _cell_keys(2), small=small, tuning=tuning)
 
     once = _and(

@@ -181,26 +181,19 @@ class KdCells:
 
 def _pivots(placed: DataFrame, depth: int) -> list[tuple[int, float, int]]:
     """The least record of each right half, which is the record its parent split at."""
-    found = []
-    bottom = placed.filter(F.col("node") >= 2**depth) if depth else placed.limit(0)
-    for level in range(depth):
-        # nodes that stopped early do not reach this level; their pivots are not needed
-        shift = depth - level - 1
-        child = F.shiftright(F.col("node"), shift)
-        axis = "x" if level % 2 == 0 else "y"
-        halves = bottom.select(child.alias("child"), F.struct(F.col(axis).alias("coord"), "value").alias("at"))
-        least = (
-            halves.filter(F.col("child").bitwiseAND(F.lit(1)) == 1)
-            .groupBy(F.shiftright("child", 1).alias("node"))
-            .agg(F.min("at").alias("at"))
-        )
-        found.append(least.select("node", F.col("at.coord").alias("coord"), F.col("at.value").alias("value")))
-    if not found:
+    if depth == 0:
         return []
-    union = found[0]
-    for part in found[1:]:
-        union = union.unionByName(part)
-    return [(r["node"], r["coord"], r["value"]) for r in union.collect()]  # at most 2**depth - 1 rows
+    bottom = placed.filter(F.col("node") >= 2**depth)  # nodes that stopped early need no pivot below
+    steps = []
+    for level in range(depth):
+        child = F.shiftright(F.col("node"), depth - level - 1)
+        at = F.struct(F.col("x" if level % 2 == 0 else "y").alias("coord"), F.col("value").alias("value"))
+        right = child.bitwiseAND(F.lit(1)) == 1
+        steps.append(F.when(right, F.struct(F.shiftright(child, 1).alias("parent"), at.alias("at"))))
+    halves = bottom.select(F.inline(F.array_compact(F.array(*steps))))
+    pivots = halves.groupBy("parent").agg(F.min("at").alias("at"))
+    # at most 2**depth - 1 rows
+    return [(r["parent"], r["at"]["coord"], r["at"]["value"]) for r in pivots.collect()]
 
 
 def _data_bounds(df: DataFrame, at: Position) -> Bounds:

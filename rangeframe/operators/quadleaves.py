@@ -17,7 +17,7 @@ from ..functions.cells import MAX_QUAD_DEPTH, Bounds, with_quad_path
 from ..plans.runtime import broadcast_if_small, cut_lineage
 from .directory import point_bounds, read_bounds
 
-LEVELS_PER_PASS = 6
+LEVELS_PER_PASS = 8
 BROADCAST_CELLS = 500_000
 
 
@@ -39,26 +39,50 @@ def _path_counts(df: DataFrame, x: str, y: str, bounds: Bounds, max_depth: int)
     return coded.groupBy("path", stop).agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def _rolled_up(
-    codes: DataFrame, top: int, bottom: int, splits_at, max_depth: int
-) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Leaves on levels ``top + 1 .. bottom``, the boxes on ``top``, the boxes on ``bottom``."""
-    prefix = F.shiftright(F.col("path"), 2 * (max_depth - bottom)).alias("path")
-    boxes = codes.groupBy(prefix).agg(F.sum("n_items").alias("n_items"), F.min("stop").alias("stop"))
-    lowest, leaves = boxes, []
-    for level in range(bottom, top, -1):
-        # at most four children per parent; the shuffle below serves both uses of ``parents``
-        parents = boxes.groupBy(F.shiftright(F.col("path"), 2).alias("parent")).agg(
-            F.sum("n_items").alias("n_items"),
-            F.min("stop").alias("stop"),
-            F.collect_list(F.struct("path", "n_items", "stop")).alias("children"),
-        )
-        children = parents.filter(splits_at(level - 1)).select(F.inline("children"))
-        leaves.append(
-            children.filter(~splits_at(level)).select(F.lit(level).alias("level"), "path", "n_items")
+def _prefix(level: Column | int, max_depth: int) -> Column:
+    shift = F.lit(2) * (F.lit(max_depth) - level)
+    return F.call_function("shiftright", F.col("path"), shift.cast("int"))
+
+
+def _leaves_between(codes: DataFrame, top: int, bottom: int, capacity: int, max_depth: int) -> DataFrame:
+    """Leaves on levels ``top + 1 .. bottom``, and on level 0 where ``top`` is 0.
+
+    Two shuffles whatever the number of levels: boxes of all levels are counted
+    together, then grouped under their parents, at most four to each.
+    """
+
+    def splits(box: str = "") -> Column:
+        n, stop, level = (F.col(f"{box}{c}") for c in ("n_items", "stop", "level"))
+        return (n > capacity) & (stop > level) & (level < max_depth)
+
+    first = top if top == 0 and bottom == 0 else top + 1
+    levels = F.explode(F.sequence(F.lit(first), F.lit(bottom))).alias("level")
+    boxes = (
+        codes.select("path", "stop", "n_items", levels)
+        .select("level", _prefix(F.col("level"), max_depth).alias("path"), "stop", "n_items")
+        .groupBy("level", "path")
+        .agg(F.sum("n_items").alias("n_items"), F.min("stop").alias("stop"))
+    )
+    if bottom == 0:
+        return boxes.select("level", "path", "n_items")
+    parents = boxes.groupBy(
+        (F.col("level") - 1).alias("parent_level"), F.shiftright(F.col("path"), 2).alias("parent_path")
+    ).agg(
+        F.sum("n_items").alias("parent_n_items"),
+        F.min("stop").alias("parent_stop"),
+        F.collect_list(F.struct("level", "path", "n_items", "stop")).alias("children"),
+    )
+    root = F.array(
+        F.struct(
+            F.col("parent_level").alias("level"),
+            F.col("parent_path").alias("path"),
+            F.col("parent_n_items").alias("n_items"),
+            F.col("parent_stop").alias("stop"),
         )
-        boxes = parents.select(F.col("parent").alias("path"), "n_items", "stop")
-    return leaves, boxes, lowest
+    )
+    # only the root has no parent of its own to ask; any other box speaks through its parent
+    chosen = F.when(splits("parent_"), F.col("children")).when(F.col("parent_level") == 0, root)
+    return parents.select(F.inline(chosen)).filter(~splits()).select("level", "path", "n_items")
 
 
 def quad_leaves(
@@ -72,19 +96,14 @@ def quad_leaves(
 ) -> DataFrame:
     """``(level, path, n_items)`` of every non-empty leaf.
 
-    Levels are taken a few at a time: one grouping by the pass's deepest prefix,
-    rolled up level by level.  Only points of boxes that are still too full go on
-    to the next pass.
+    Up to ``LEVELS_PER_PASS`` levels are one plan.  Deeper trees take several
+    passes, and only points of boxes that are still too full go on to the next.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     if not 0 <= max_depth <= MAX_QUAD_DEPTH:
         raise ValueError(f"max_depth must be in [0, {MAX_QUAD_DEPTH}]")
     bounds = bounds or read_bounds(point_bounds(df, x=x, y=y))
-
-    def splits_at(level: int) -> Column:
-        return (F.col("n_items") > capacity) & (F.col("stop") > level) & F.lit(level < max_depth)
-
     codes = _path_counts(df, x, y, bounds, max_depth)
     if max_depth > LEVELS_PER_PASS:
         codes = cut_lineage(codes)
@@ -92,16 +111,18 @@ def quad_leaves(
     top = 0
     while True:
         bottom = min(max_depth, top + LEVELS_PER_PASS)
-        found, roots, lowest = _rolled_up(codes, top, bottom, splits_at, max_depth)
-        leaves += found
-        if top == 0:
-            leaves.append(roots.filter(~splits_at(0)).select(F.lit(0).alias("level"), "path", "n_items"))
+        leaves.append(_leaves_between(codes, top, bottom, capacity, max_depth))
         if bottom == max_depth:
             break
-        full = cut_lineage(lowest.filter(splits_at(bottom)).select(F.col("path").alias("full_path")))
+        above = _prefix(bottom, max_depth)
+        lowest = codes.groupBy(above.alias("full_path")).agg(
+            F.sum("n_items").alias("n_items"), F.min("stop").alias("stop")
+        )
+        full = cut_lineage(
+            lowest.filter((F.col("n_items") > capacity) & (F.col("stop") > bottom)).select("full_path")
+        )
         if full.isEmpty():
             break
-        above = F.shiftright(F.col("path"), 2 * (max_depth - bottom))
         codes = codes.join(broadcast_if_small(full, BROADCAST_CELLS), above == F.col("full_path"), "left_semi")
         top = bottom
     return reduce(DataFrame.unionByName, leaves)
