@@ -1,0 +1,196 @@
+"""Batch joins against brute force, and the plans they produce."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rangeframe.operators import joins as j
+from rangeframe.operators import lookup as l
+from rangeframe.operators.enlargement import least_enlargement
+from rangeframe.operators.joins import JoinTuning
+
+INF = float("inf")
+TUNINGS = {
+    "broadcast": JoinTuning(),
+    "shuffle": JoinTuning(broadcast_rows=0),
+    "salted": JoinTuning(broadcast_rows=0, hot_rows=5, max_salts=4),
+    "coarse": JoinTuning(query_cells=4, data_cells=1, broadcast_rows=0),
+}
+tuned = pytest.mark.parametrize("tuning", TUNINGS.values(), ids=TUNINGS.keys())
+
+
+def answers(df):
+    return sorted((r["qid"], r["value"]) for r in df.collect())
+
+
+def make_points():
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(150)]
+    rows += [(1_000 + i, 50.0, 50.0) for i in range(60)]  # a third of all rows in one spot
+    rows += [(1_000, 50.0, 50.0), (2_000, -3.0, 4.0)]
+    return rows
+
+
+def make_rects():
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        x, y = rng.uniform(0, 100), rng.uniform(0, 100)
+        size = rng.choice([0.0, 1.0, 5.0, 60.0])
+        rows.append((i, x, y, x + size, y + size / 2))
+    rows += [(500 + i, 40.0, 40.0, 60.0, 60.0) for i in range(40)]
+    rows += [(600, -1e7, -1e7, 1e7, 1e7), (601, 30.0, 30.0, 10.0, 40.0), (602, 10.0, 10.0, 20.0, 20.0)]
+    return rows
+
+
+def make_windows():
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        x, y, w, h = rng.uniform(0, 95), rng.uniform(0, 95), rng.uniform(0, 6), rng.uniform(0, 6)
+        rows.append((i, x, y, x + w, y + h))
+    rows += [
+        (100, -INF, -INF, INF, INF),
+        (101, 50.0, 50.0, 50.0, 50.0),
+        (102, 20.0, 20.0, 30.0, 30.0),  # touches a rectangle in a corner
+        (103, 60.0, 10.0, 40.0, 90.0),  # inverted
+        (104, -1e6, 49.0, 1e6, 51.0),  # long and thin
+        (105, 500.0, 500.0, 501.0, 501.0),
+    ]
+    return rows
+
+
+POINTS = "value bigint, x double, y double"
+RECTS = "value bigint, xmin double, ymin double, xmax double, ymax double"
+WINDOWS = "qid bigint, qxmin double, qymin double, qxmax double, qymax double"
+
+
+def meets(r, q):
+    return r[1] <= q[3] and r[3] >= q[1] and r[2] <= q[4] and r[4] >= q[2]
+
+
+@tuned
+def test_points_in_rects(spark, tuning):
+    points, windows = make_points(), make_windows()
+    want = sorted(
+        (q[0], p[0]) for q in windows for p in points if q[1] <= p[1] <= q[3] and q[2] <= p[2] <= q[4]
+    )
+    got = j.match_points_in_rects(
+        spark.createDataFrame(points, POINTS), spark.createDataFrame(windows, WINDOWS), tuning=tuning
+    )
+    assert answers(got) == want
+
+
+@tuned
+def test_rects_meet_rects(spark, tuning):
+    rects, windows = make_rects(), make_windows()
+    want = sorted((q[0], r[0]) for q in windows for r in rects if meets(r, q))
+    got = j.match_rects(spark.createDataFrame(rects, RECTS), spark.createDataFrame(windows, WINDOWS), tuning=tuning)
+    assert answers(got) == want
+
+
+@tuned
+def test_rects_around_points(spark, tuning):
+    rects, points = make_rects(), make_points()
+    want = sorted((p[0], r[0]) for p in points for r in rects if r[1] <= p[1] <= r[3] and r[2] <= p[2] <= r[4])
+    queries = spark.createDataFrame(points, "qid bigint, px double, py double")
+    got = j.match_rects_at_points(spark.createDataFrame(rects, RECTS), queries, tuning=tuning)
+    assert answers(got) == want
+
+
+@tuned
+def test_equal_points(spark, tuning):
+    points = make_points()
+    want = sorted((q[0], p[0]) for q in points for p in points if p[1:] == q[1:])
+    got = j.match_points(
+        spark.createDataFrame(points, POINTS),
+        spark.createDataFrame(points, "qid bigint, px double, py double"),
+        tuning=tuning,
+    )
+    assert answers(got) == want
+
+
+@tuned
+def test_keys_and_ranges(spark, tuning):
+    rng = random.Random(6)
+    kv = [(rng.randint(-50, 50), i) for i in range(120)] + [(7, 1_000 + i) for i in range(60)] + [(7, 1_000)]
+    ranges = [(i, lo, lo + rng.randint(0, 9)) for i, lo in enumerate(rng.randint(-60, 60) for _ in range(30))]
+    ranges += [(90, 7, 7), (91, 9, 3), (92, -(2**62), 2**62), (93, 200, 300)]
+    data = spark.createDataFrame(kv, "key bigint, value bigint")
+    want = sorted((q, v) for q, lo, hi in ranges for k, v in kv if lo <= k <= hi)
+    table = spark.createDataFrame(ranges, "qid bigint, low bigint, high bigint")
+    assert answers(j.match_key_ranges(data, table, tuning=tuning)) == want
+    keys = [(i, k) for i, k in enumerate([7, 7, -3, 999])]
+    want = sorted((q, v) for q, k0 in keys for k, v in kv if k == k0)
+    assert answers(j.match_keys(data, spark.createDataFrame(keys, "qid bigint, k bigint"), tuning=tuning)) == want
+
+
+def test_empty_sides(spark):
+    points, windows = spark.createDataFrame([], POINTS), spark.createDataFrame(make_windows(), WINDOWS)
+    assert answers(j.match_points_in_rects(points, windows)) == []
+    some = spark.createDataFrame(make_points(), POINTS)
+    assert answers(j.match_points_in_rects(some, windows.limit(0))) == []
+    rects = spark.createDataFrame(make_rects(), RECTS)
+    assert answers(j.match_rects(rects, windows.limit(0))) == []
+
+
+def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["broadcast", "shuffle"])
+def test_plans_have_equi_joins_only(spark, name, tmp_path):
+    spark.createDataFrame(make_rects(), RECTS).write.parquet(str(tmp_path / "rects"))
+    rects = spark.read.parquet(str(tmp_path / "rects"))
+    windows = spark.createDataFrame(make_windows()[:40], WINDOWS)
+    plan = plan_of(j.match_rects(rects, windows, tuning=TUNINGS[name]))
+    for bad in ("NestedLoop", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in plan
+    assert ("BroadcastHashJoin" if name == "broadcast" else "SortMergeJoin") in plan
+    # the reach of the query table is pushed into the scan
+    assert "LessThanOrEqual(xmin" in plan and "GreaterThanOrEqual(xmax" in plan
+
+
+@pytest.mark.parametrize("block_rows", [65_536, 4])
+def test_least_enlargement(spark, block_rows):
+    def area(r):
+        return max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
+
+    rects = make_rects()
+    regions = [(i, *make_windows()[i][1:]) for i in range(12)] + [(50, 0.0, 0.0, 9.0, 9.0), (49, 0.0, 0.0, 9.0, 9.0)]
+    want = []
+    for r in rects:
+        scored = []
+        for q in regions:
+            u = (min(r[1], q[1]), min(r[2], q[2]), max(r[3], q[3]), max(r[4], q[4]))
+            scored.append((area(u) - area(q[1:]), area(q[1:]), q[0]))
+        want.append((r[0], min(scored)[2]))
+    got = least_enlargement(
+        spark.createDataFrame(rects, RECTS),
+        spark.createDataFrame(regions, "region bigint, xmin double, ymin double, xmax double, ymax double"),
+        block_rows=block_rows,
+    )
+    assert sorted((r["value"], r["region"]) for r in got.collect()) == sorted(want)
+
+
+def test_single_lookups(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 4.0), (3, 5.0, 3.0), (4, 7.0, 8.0), (5, 9.0, 2.0)], POINTS)
+    values = lambda df: sorted(r[0] for r in df.collect())
+    assert values(l.point_query(points, l.PointAt(2.0, 4.0))) == [2]
+    assert values(l.point_query(points, l.PointAt(9.0, 9.0))) == []
+    assert values(l.point_query(points, l.Window(0, 0, 6, 4.5))) == [1, 2, 3]
+    rects = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0), (2, 1.0, 1.0, 4.0, 4.0), (3, 5.0, 5.0, 6.0, 6.0)], RECTS)
+    assert values(l.rect_query(rects, l.PointAt(1.5, 1.5))) == [1, 2]
+    assert values(l.rect_query(rects, l.Window(1.5, 1.5, 1.5, 1.5))) == [1, 2]
+    assert values(l.rect_query(rects, l.PointAt(9.0, 9.0))) == []
+    kv = spark.createDataFrame([(5, 1), (3, 2), (5, 0), (9, 4)], "key bigint, value bigint")
+    assert values(l.key_query(kv, l.KeyAt(5))) == [0, 1]
+    assert [r[0] for r in l.key_query(kv, l.KeyRange(3, 5, ordered=True)).collect()] == [2, 0, 1]
+    assert values(l.key_query(kv, l.KeyRange(5, 3))) == []
+    with pytest.raises(TypeError):
+        l.key_query(kv, (3, 5))
+    assert l.keys_equal(kv.withColumn("key", F.col("key").cast("string")), "5").count() == 2
