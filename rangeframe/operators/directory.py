@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as c
 from ..functions.cells import Bounds
-from ..plans.runtime import broadcast_if_small
 from . import joins
 
 RECT_SIDES = ("xmin", "ymin", "xmax", "ymax")
-BROADCAST_CELLS = 100_000
 
 
 # -- extents ------------------------------------------------------------------
@@ -65,9 +63,10 @@ def read_bounds(bounds: DataFrame) -> Bounds:
 def _with_empty_cells(directory: DataFrame, n_cells: int | None) -> DataFrame:
     if n_cells is None:
         return directory
-    every = directory.sparkSession.range(n_cells).select(F.col("id").cast("int").alias("cell"))
-    filled = every.join(broadcast_if_small(directory, BROADCAST_CELLS), "cell", "left")
-    return filled.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("bigint")))
+    every = directory.sparkSession.range(n_cells).select(
+        F.col("id").cast("int").alias("cell"), F.lit(0).cast("bigint").alias("n_items")
+    )
+    return merge_directories(directory.unionByName(every, allowMissingColumns=True))
 
 
 def key_directory(df: DataFrame, *, key: str = "key", cell: str = "cell", n_cells: int | None = None) -> DataFrame:
@@ -191,9 +190,12 @@ def pruning(directory: DataFrame, routed: DataFrame, queries: DataFrame) -> Data
     shape = _occupied(directory).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("n_items").alias("n_rows"), F.max("n_items").alias("largest_cell")
     )
-    touched = routed.join(broadcast_if_small(directory.select("cell", "n_items"), BROADCAST_CELLS), "cell").agg(
+    # queries are counted per cell first, so the join is between two cell-sized tables
+    per_cell = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("asks"))
+    touched = per_cell.join(directory.select("cell", "n_items"), "cell").agg(
         F.struct(
-            F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("rows")
+            F.coalesce(F.sum("asks"), F.lit(0)).alias("cells"),
+            F.coalesce(F.sum(F.col("asks") * F.col("n_items")), F.lit(0)).alias("rows"),
         ).alias("touched")
     )
     asked = queries.agg(F.count(F.lit(1)).alias("num_queries"))
