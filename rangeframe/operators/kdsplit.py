@@ -174,10 +174,14 @@ def _pivots_by_selection(
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("__at", df.schema[axis].dataType)])
     at = _typed(df.sparkSession, [(k, c) for k, (c, _) in by_coordinate.items()], schema)
     ties = df.join(at, "node").filter(F.col(axis) == F.col("__at"))
-    n_ties = {r["node"]: r["n"] for r in ties.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {k: (rank, n_ties[k]) for k, (_, rank) in by_coordinate.items()}
-    by_value = select_ranks(ties, "node", value, wanted, window_rows)
-    return [(k, c, by_value[k][0]) for k, (c, _) in by_coordinate.items()]
+    counted = ties.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("only")).collect()
+    # distinct coordinates are the usual case: the one record there is the pivot
+    pivots = {r["node"]: r["only"] for r in counted if r["n"] == 1}
+    wanted = {r["node"]: (by_coordinate[r["node"]][1], r["n"]) for r in counted if r["n"] > 1}
+    if wanted:
+        found = select_ranks(ties, "node", value, wanted, window_rows)
+        pivots.update({k: v for k, (v, _) in found.items()})
+    return [(k, c, pivots[k]) for k, (c, _) in by_coordinate.items()]
 
 
 # -- splitting ----------------------------------------------------------------
