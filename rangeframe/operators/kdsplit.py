@@ -12,6 +12,7 @@ part the rank lies, and each round leaves a small fraction of the rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 WINDOW_ROWS = 1_000_000
 MAX_KD_DEPTH = 14  # at most 2**14 nodes travel with the plan
 QUANTILE_ACCURACY = 10_000
+MARKS_PER_UNIT = 100_000
+MOST_MARKS = 256
 ROOT = 1  # heap numbering: the children of node i are 2i and 2i + 1
 
 
@@ -98,16 +101,17 @@ def select_ranks(
         active = open_rows(large)
         at = {k: (searches[k].rank + 0.5) / searches[k].n for k in large}
         step = 2.0 / QUANTILE_ACCURACY
-        grid = [i / 64 for i in range(65)]
-        # quantiles on a fixed grid serve all nodes at once; the middle pair is the usual case
-        marks = sorted({*grid, *(max(0.0, p - step) for p in at.values()), *(min(1.0, p + step) for p in at.values())})
-        if len(marks) > 1_000:
-            marks = grid
+        # rounded outwards, the marks of nodes split in the middle fall together
+        lower = {k: max(0.0, math.floor((p - step) * MARKS_PER_UNIT) / MARKS_PER_UNIT) for k, p in at.items()}
+        upper = {k: min(1.0, math.ceil((p + step) * MARKS_PER_UNIT) / MARKS_PER_UNIT) for k, p in at.items()}
+        marks = sorted({*lower.values(), *upper.values()})
+        if len(marks) > MOST_MARKS:
+            marks = [i / MOST_MARKS for i in range(MOST_MARKS + 1)]
         quantiles = active.groupBy(node).agg(F.percentile_approx(v, marks, QUANTILE_ACCURACY).alias("q"))
         for row in quantiles.collect():
-            p = at[row[node]]
-            below = [q for m, q in zip(marks, row["q"]) if m <= p - step]
-            above = [q for m, q in zip(marks, row["q"]) if m >= p + step]
+            key = row[node]
+            below = [q for m, q in zip(marks, row["q"]) if m <= lower[key]]
+            above = [q for m, q in zip(marks, row["q"]) if m >= upper[key]]
             probes[row[node]] = (below[-1] if below else row["q"][0], above[0] if above else row["q"][-1])
         probe_schema = T.StructType(
             [T.StructField(node, T.LongType()), T.StructField("__a", dtype), T.StructField("__b", dtype)]
