@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding, simhash, url_filter
+from . import decontaminate, line_dedup, merkle, mixing, quality, sharding, simhash, url_filter
 from .common import table
 
 URL_RULES = (
@@ -18,10 +18,23 @@ URL_RULES = (
 SHARDS = tuple(f"shard-{n:02d}" for n in range(32))
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_copies", "n_shared", "n_shingles", "containment")
+
+
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, sf, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("mark")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,7 +55,10 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
@@ -107,6 +123,22 @@ SELECT page_id, r.host, path, rule,
 FROM ruled r LEFT JOIN final f ON f.host = r.host"""
 
 
+_LEAK_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tokens AS (SELECT kind, id, regexp_extract_all(translate(text, {_A_Z}), '[^\x20\x09-\x0D]+') AS w FROM texts),
+shingled AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) <= {decontaminate.WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {decontaminate.WORDS - 2}), lambda i : array_to_string(w[i:i + {decontaminate.WORDS - 1}], ' ')) END) AS s
+  FROM tokens WHERE len(w) > 0),
+sets AS (SELECT id, count(*) AS n_shingles, string_agg(s, chr(10) ORDER BY s) AS content FROM shingled WHERE kind = 'i' GROUP BY id),
+items AS (SELECT min(id) AS item_id, count(*) AS n_copies, min(n_shingles) AS n_shingles FROM sets GROUP BY content)
+SELECT d.id AS doc_id, item_id, n_copies, count(*) AS n_shared, n_shingles,
+       cast(count(*) AS double) / cast(n_shingles AS double) AS containment
+FROM items i JOIN shingled x ON x.kind = 'i' AND x.id = i.item_id JOIN shingled d ON d.kind = 'd' AND d.s = x.s
+GROUP BY d.id, item_id, n_copies, n_shingles
+HAVING cast(count(*) AS double) / cast(n_shingles AS double) >= {decontaminate.LEAST_CONTAINMENT}::double"""
+
+
 _LINES_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 placed AS (SELECT row, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),
@@ -196,6 +228,7 @@ JOIN slots USING (slot)"""
 
 
 ORACLES = {
+    "op2_decontamination": _LEAK_SQL,
     "op4_url_filter": _url_sql(),
     "op7_line_dedup": _LINES_SQL,
     "op9_mixing": _mix_sql(),
