@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, merkle, mixing, quality, sharding, simhash, url_filter
+from . import decontaminate, html_extract, license_scan, line_dedup, merkle, mixing, quality, sharding, simhash, url_filter
 from .common import table
 
 URL_RULES = (
@@ -18,6 +18,10 @@ URL_RULES = (
 SHARDS = tuple(f"shard-{n:02d}" for n in range(32))
 
 
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return leaks.select("doc_id", "item_id", "n_copies", "n_shared", "n_shingles", "containment")
@@ -35,6 +39,10 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("mark")
 
 
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -55,10 +63,12 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_license_scan": op6_license_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
