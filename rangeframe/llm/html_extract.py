@@ -91,7 +91,9 @@ def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
-    """One step of a generalised path: numbers in class names do not count."""
+    """One step of a generalised path; numbers in class names, and the page's own classes, do not count."""
+    if tag in ("html", "body"):
+        return tag
     classes = sorted({re.sub(r"\d+", "0", c) for c in attributes.get("class", "").lower().split()})
     return ".".join([tag, *classes])
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
 
@@ -54,6 +54,12 @@ class Spec:
 #: Three-word shingles, 64 bits, two segments: links at two or fewer bits, none missed.
 EXACT = Spec()
 
+#: Jaccard similarity of 0.8 or more of the sets of five-word shingles: that is some 15 % of the bits
+#: of their fingerprint, here 512 bits.  Too many for long segments, so what is indexed is the fingerprint of
+#: the set of words, in which such texts differ by some 7 % of the bits: six segments of 24 bits
+#: then find nearly every pair.
+SIMILAR = Spec(words=5, lanes=8, distinct=True, most_bits=80, index_words=1, segment_bits=24, segments=6)
+
 
 def majority_bits(features: np.ndarray, lanes: int) -> np.ndarray:
     """Bits set in over half of the features, ``64 * lanes`` of them, low bit first; none for no features."""
@@ -89,19 +95,24 @@ def fingerprint(text: str | None, spec: Spec = EXACT) -> tuple[list[int], list[i
 
 
 def fingerprints(docs: DataFrame, spec: Spec = EXACT, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, lanes, parts, node)``; ``node`` stands for the class of equal fingerprints."""
+    """``(doc_id, mark, lanes, parts, node)``; ``node`` stands for the class of equal fingerprints.
+
+    ``mark`` tells rows of one id apart by their text.
+    """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             both = [fingerprint(t, spec) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lanes": [b[0] for b in both], "parts": [b[1] for b in both]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "mark": frame["mark"], "lanes": [b[0] for b in both], "parts": [b[1] for b in both]})
 
-    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"))
+    rows = docs.select(
+        quoted(doc_id).alias("doc_id"), text_digest(quoted(text)).alias("mark"), quoted(text).cast("string").alias("text")
+    )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInPandas(batches, f"doc_id {kind}, lanes array<bigint>, parts array<bigint>")
+    made = rows.mapInPandas(batches, f"doc_id {kind}, mark bigint, lanes array<bigint>, parts array<bigint>")
     # one lane is its own name; more lanes and the parts are named by a digest
     node = F.element_at("lanes", 1) if spec.lanes == 1 and not spec.index_words else F.xxhash64("lanes", "parts")
-    return written(made.select("doc_id", "lanes", "parts", node.alias("node")), "simhash")
+    return written(made.select("doc_id", "mark", "lanes", "parts", node.alias("node")), "simhash")
 
 
 def _variants(nodes: DataFrame, spec: Spec) -> DataFrame:
@@ -127,11 +138,7 @@ def _pairs(members: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")))
     if spec.lanes == 1 and not spec.index_words:
         return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.most_bits).select("a", "b").distinct()
-    candidates = met.select("a", "b").distinct()
-    first = nodes.select(F.col("node").alias("a"), F.col("lanes").alias("a_lanes"))
-    second = nodes.select(F.col("node").alias("b"), F.col("lanes").alias("b_lanes"))
-    checked = candidates.join(first, "a").join(second, "b")
-    return checked.filter(_differing(F.col("a_lanes"), F.col("b_lanes")) <= spec.most_bits).select("a", "b")
+    return _verified(met.select("a", "b").distinct(), nodes, spec)
 
 
 def _without(value: Column, *places: Column) -> Column:
@@ -162,28 +169,43 @@ def _stars(crowd: DataFrame) -> DataFrame:
     return keyed.join(smallest, ["p", "q", "rest"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _crowd_links(crowd: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Links of crowded variants of other forms: each member against its key's next members in four orders.
-
-    Candidates only; they are verified like all others.  A member of a crowd shares
-    many variants, each with orders of its own, so it meets ever other partners.
-    """
-    met = None
-    for turn in range(4):
-        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node", "key"))
-        step = crowd.select(F.col("node").alias("x"), F.lead("node", 1 + turn).over(order).alias("y")).filter("y IS NOT NULL")
-        met = step if met is None else met.union(step)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _verified(pairs: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+    """The candidate pairs ``(a, b)`` whose whole fingerprints are near."""
     first = nodes.select(F.col("node").alias("a"), F.col("lanes").alias("a_lanes"))
     second = nodes.select(F.col("node").alias("b"), F.col("lanes").alias("b_lanes"))
     checked = pairs.join(first, "a").join(second, "b")
     return checked.filter(_differing(F.col("a_lanes"), F.col("b_lanes")) <= spec.most_bits).select("a", "b")
 
 
+def _crowd_links(crowd: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+    """Links of crowded variants of other forms, without expanding them into pairs.
+
+    Each member is compared with its next four in an order of each variant's own; as a
+    member of a crowd shares many variants, it meets ever other partners.  The
+    member of a variant with most links, which is near the crowd's original, is
+    then compared with all the others.
+    """
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
+    steps = [crowd.select(F.col("node").alias("x"), F.lead("node", n).over(order).alias("y")) for n in (1, 2, 3, 4)]
+    met = steps[0].union(steps[1]).union(steps[2]).union(steps[3]).filter("y IS NOT NULL")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = written(_verified(pairs, nodes, spec), "simhash-links")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    hubs = crowd.join(degrees, "node").groupBy(F.col("key").alias("k")).agg(F.max(F.struct("links", "node")).alias("hub"))
+    around = crowd.join(hubs, F.col("key") == F.col("k")).select("node", F.col("hub.node").alias("hub")).filter("node <> hub")
+    spokes = around.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return links.union(_verified(spokes, nodes, spec))
+
+
 def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """``(node, root, size)``: each class of equal fingerprints with the smallest id linked to it."""
+    """``(node, root)``: each class of equal fingerprints with the first row linked to it.
+
+    ``root`` is a struct (missing, doc_id, mark): rows without an id come last.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     nodes = written(
-        marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("lanes").alias("lanes"), F.first("parts").alias("parts")),
+        marked.groupBy("node").agg(F.min(row).alias("least"), F.first("lanes").alias("lanes"), F.first("parts").alias("parts")),
         "simhash-nodes",
     )
     shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
@@ -197,7 +219,7 @@ def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     labelled = written(joined.select("node", "least", F.coalesce("root", "node").alias("label")), "simhash-labels")
     smallest = labelled.groupBy("label").agg(F.min("least").alias("root"))
-    return labelled.join(smallest, "label").select("node", "root")
+    return written(labelled.join(smallest, "label").select("node", "root"), "simhash-roots")
 
 
 def simhash_groups(
@@ -210,6 +232,28 @@ def simhash_groups(
     has a null ``component_id``.  An empty table gives an empty result.
     """
     marked = fingerprints(docs, spec, doc_id=doc_id, text=text)
-    roots = written(node_roots(marked, spec, pair_limit=pair_limit), "simhash-roots")
-    named = roots.select(F.col("node").alias("m"), F.col("root").alias("component_id"))
+    roots = node_roots(marked, spec, pair_limit=pair_limit)
+    named = roots.select(F.col("node").alias("m"), F.col("root.doc_id").alias("component_id"))
     return marked.join(named, F.col("node") == F.col("m"), "left").select("doc_id", "lanes", "component_id")
+
+
+def first_of_groups(
+    docs: DataFrame, spec: Spec = SIMILAR, *, doc_id: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT
+) -> DataFrame:
+    """One row of ``docs`` for each group, with all its columns: the one of the smallest id.
+
+    Rows of one id are told apart by their text; of rows alike in both, one stays.
+    Null ids come last.  Null and blank texts are one group.
+    """
+    marked = fingerprints(docs, spec, doc_id=doc_id, text=text)
+    roots = node_roots(marked, spec, pair_limit=pair_limit)
+    named = roots.select(F.col("node").alias("m"), "root")
+    same = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("mark") == F.col("root.mark"))
+    firsts = marked.join(named, F.col("node") == F.col("m")).filter(same).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.select(F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark"), "n"), "simhash-firsts")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(doc_id).alias("row_id"), text_digest(quoted(text)).alias("row_mark"))
+    met = rows.join(firsts, F.col("row_id").eqNullSafe(F.col("f_id")) & (F.col("row_mark") == F.col("f_mark")))
+    single = met.filter("n = 1").select("row.*")
+    if firsts.filter("n > 1").isEmpty():
+        return single
+    return single.union(met.filter("n > 1").dropDuplicates(["row_id", "row_mark"]).select("row.*"))
