@@ -28,7 +28,6 @@ MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES = 4
 FAN_IN = 2
-BUCKETS = 32
 
 
 def lines_of(text: Column) -> Column:
@@ -45,14 +44,17 @@ def line_key(line: Column, min_chars: int = MIN_CHARS) -> Column:
 class LineRuns:
     """The levelled runs of one collection of batches.
 
+    Runs have as many buckets as the session has shuffle partitions when the
+    collection is begun, so a batch meets them without a second shuffle.
     Run tables live in the shared folder; the session's catalog knows their
     bucketing, and ``drop`` removes them from it.
     """
 
-    def __init__(self, spark: SparkSession, *, fan_in: int = FAN_IN, buckets: int = BUCKETS):
-        if fan_in < 2 or buckets < 1:
-            raise ValueError("fan_in must be at least 2 and buckets at least 1")
-        self.spark, self.fan_in, self.buckets = spark, fan_in, buckets
+    def __init__(self, spark: SparkSession, *, fan_in: int = FAN_IN, buckets: int | None = None):
+        if fan_in < 2:
+            raise ValueError("fan_in must be at least 2")
+        self.spark, self.fan_in = spark, fan_in
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self._folder = shared_folder(spark).rstrip("/")
 
@@ -133,7 +135,7 @@ def drop_common_lines(
     min_chars: int = MIN_CHARS,
     batches: int = BATCHES,
     fan_in: int = FAN_IN,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, kept_text)`` for every row of ``docs``.
 
