@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as c
 from ..functions.cells import Bounds
+from ..plans.runtime import cut_lineage
 from . import joins
 
 RECT_SIDES = ("xmin", "ymin", "xmax", "ymax")
@@ -124,6 +125,16 @@ def _occupied(directory: DataFrame) -> DataFrame:
     return directory.filter(F.col("n_items") > 0)
 
 
+def _as_asked(directory: DataFrame, sides) -> DataFrame:
+    """The occupied cells as the small side of a batch join, computed once.
+
+    The directory is measured, expanded and broadcast; the queries stream past
+    it, so their number does not matter.
+    """
+    picked = _occupied(directory).select(F.col("cell").alias("qid"), *(F.col(s).alias(f"q{n}") for s, n in zip(sides, RECT_SIDES)))
+    return cut_lineage(picked)
+
+
 def route_key_ranges(
     queries: DataFrame, directory: DataFrame, *, qid: str = "qid", low: str = "low", high: str = "high"
 ) -> DataFrame:
@@ -131,23 +142,21 @@ def route_key_ranges(
 
     Key intervals and ranges are boxes of height zero, so this is the overlap join.
     """
-    chunks = _occupied(directory).select(
-        F.col("cell"), F.col("min_key").alias("xmin"), F.lit(0).alias("ymin"),
-        F.col("max_key").alias("xmax"), F.lit(0).alias("ymax"),
-    )
+    flat = directory.withColumn("__flat", F.lit(0))
+    chunks = _as_asked(flat, ("min_key", "__flat", "max_key", "__flat"))
     ranges = queries.filter(F.col(low) <= F.col(high)).select(
-        F.col(qid).alias("qid"), F.col(low).alias("qxmin"), F.lit(0).alias("qymin"),
-        F.col(high).alias("qxmax"), F.lit(0).alias("qymax"),
+        F.col(qid).alias("value"), F.col(low).alias("xmin"), F.lit(0).alias("ymin"),
+        F.col(high).alias("xmax"), F.lit(0).alias("ymax"),
     )
-    return joins.match_rects(chunks, ranges, value="cell").select("qid", F.col("value").alias("cell"))
+    return joins.match_rects(ranges, chunks).select(F.col("value").alias("qid"), F.col("qid").alias("cell"))
 
 
 def route_points(
     queries: DataFrame, directory: DataFrame, *, qid: str = "qid", px: str = "px", py: str = "py"
 ) -> DataFrame:
     """``(qid, cell)``: the cells whose bounding rectangle contains each point."""
-    met = joins.match_rects_at_points(_occupied(directory), queries, value="cell", qid=qid, px=px, py=py)
-    return met.select("qid", F.col("value").alias("cell"))
+    met = joins.match_points_in_rects(queries, _as_asked(directory, RECT_SIDES), x=px, y=py, value=qid)
+    return met.select(F.col("value").alias("qid"), F.col("qid").alias("cell"))
 
 
 def route_rects(
@@ -158,8 +167,8 @@ def route_rects(
     sides=("qxmin", "qymin", "qxmax", "qymax"),
 ) -> DataFrame:
     """``(qid, cell)``: the cells whose bounding rectangle meets each rectangle."""
-    met = joins.match_rects(_occupied(directory), queries, value="cell", qid=qid, query_sides=sides)
-    return met.select("qid", F.col("value").alias("cell"))
+    met = joins.match_rects(queries, _as_asked(directory, RECT_SIDES), value=qid, sides=sides)
+    return met.select(F.col("value").alias("qid"), F.col("qid").alias("cell"))
 
 
 # -- shape --------------------------------------------------------------------

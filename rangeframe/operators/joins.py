@@ -28,10 +28,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions.geometry import Box
-from ..plans.runtime import row_count_up_to
+from ..plans.runtime import broadcast_if_small, cut_lineage, row_count_up_to
 
 TOP_LEVEL = 9  # one cell for everything
 LEVEL_FACTOR = 4.0
@@ -46,8 +47,6 @@ class JoinTuning:
     data_cells: int = 4  # most cells of a data rectangle on its own level
     broadcast_rows: int = 500_000  # most expanded query rows to broadcast
     hot_rows: int = 2_000_000  # data rows of one cell or key above which it is split
-    max_salts: int = 512
-    max_hot_keys: int = 1_024
 
 
 DEFAULT_TUNING = JoinTuning()
@@ -60,23 +59,9 @@ def _and(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def hot_keys(data: DataFrame, keys: list[str], tuning: JoinTuning) -> list[tuple[int, int]]:
-    """Digests of the heaviest keys with their number of salts.
-
-    One pass with a frequent-items sketch per task, so only sketches are shuffled.
-    The sketch decides where rows go, never which rows there are: a key it misses
-    holds a small share of the data, and a digest two keys share just salts both.
-    """
-    digest = F.xxhash64(*keys)
-    sketch = F.call_function(
-        "approx_top_k", digest, F.lit(tuning.max_hot_keys), F.lit(8 * tuning.max_hot_keys)
-    )
-    row = data.agg(sketch.alias("top")).first()
-    heavy = []
-    for item in row["top"] or []:
-        if item["item"] is not None and item["count"] > tuning.hot_rows:
-            heavy.append((item["item"], min(tuning.max_salts, -(-item["count"] // tuning.hot_rows))))
-    return heavy
+def key_row_counts(data: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, __n)``: exact row counts, checkpointed so that one pass over the data serves all uses."""
+    return cut_lineage(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
 
 
 def join_on(
@@ -86,37 +71,67 @@ def join_on(
     *,
     small: bool,
     tuning: JoinTuning = DEFAULT_TUNING,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join of ``data`` with a query side; ``small`` says its size was checked.
 
-    Without ``small`` both sides are shuffled, and the hot keys are salted: a data
-    row goes to one salt, the query rows of a hot key to all of them.  The merge
-    hint keeps Spark from broadcasting a side by its size before expansion.
+    Without ``small`` both sides are shuffled, and every key of more than
+    ``hot_rows`` data rows is salted, into as many pieces as it takes: a data row
+    goes to one piece, the query rows of a hot key to all of them.  Keys of equal
+    value but different type (INT and BIGINT, FLOAT and DOUBLE) meet, as in any join.
+    ``counts`` are the data's ``key_row_counts`` where the caller has them.  The
+    merge hint keeps Spark from broadcasting a side by its size before expansion.
     """
+    data, queries = _common_types(data, queries, keys)
     if small:
         return data.join(F.broadcast(queries), keys)
-    heavy = [] if data.isStreaming else hot_keys(data, keys, tuning)
-    if not heavy:
-        return data.join(queries if data.isStreaming else queries.hint("merge"), keys)
-    salts = F.broadcast(data.sparkSession.createDataFrame(heavy, "__digest bigint, __salts int"))
+    if data.isStreaming:
+        return data.join(queries, keys)
+    counts = key_row_counts(data, keys) if counts is None else counts
+    pieces = F.ceil(F.col("__n") / tuning.hot_rows).cast("int").alias("__salts")
+    heavy = cut_lineage(counts.filter(F.col("__n") > tuning.hot_rows).select(*keys, pieces))
+    if heavy.isEmpty():
+        return data.join(queries.hint("merge"), keys)
+    # there is at most one hot key for every ``hot_rows`` data rows
+    heavy = broadcast_if_small(_common_types(heavy, data, keys)[0], tuning.broadcast_rows)
     # the partition id spreads identical copies as well; a re-run task has the same id
-    content = F.xxhash64(*data.columns) + F.spark_partition_id()
-    salt = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(content, F.col("__salts").cast("bigint")).cast("int")
-    )
-    spread = (
-        data.withColumn("__digest", F.xxhash64(*keys))
-        .join(salts, "__digest", "left")
-        .withColumn("__salt", salt)
-        .drop("__salts", "__digest")
-    )
-    copies = (
-        queries.withColumn("__digest", F.xxhash64(*keys))
-        .join(salts, "__digest", "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts", "__digest")
+    content = F.xxhash64(*data.columns, F.spark_partition_id())
+    salt = F.coalesce(F.pmod(content, F.col("__salts").cast("bigint")), F.lit(0)).cast("int")
+    spread = data.join(heavy, keys, "left").withColumn("__salt", salt).drop("__salts")
+    copies = queries.join(heavy, keys, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     )
-    return spread.join(copies.hint("merge"), [*keys, "__salt"]).drop("__salt")
+    return spread.join(copies.drop("__salts").hint("merge"), [*keys, "__salt"]).drop("__salt")
+
+
+def _common_types(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with keys of the type that a comparison of the two would use."""
+    for key in keys:
+        if a.schema[key].dataType != b.schema[key].dataType:
+            common = a.select(key).union(b.select(key)).schema[key].dataType
+            a, b = a.withColumn(key, F.col(key).cast(common)), b.withColumn(key, F.col(key).cast(common))
+    return a, b
+
+
+def _usable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without null or NaN in the columns: those match nothing."""
+    tests = []
+    for name in columns:
+        tests.append(F.col(name).isNotNull())
+        if df.schema[name].dataType.simpleString() in ("float", "double"):
+            tests.append(~F.isnan(name))
+    return df.filter(_and(tests))
+
+
+def _between_extremes(data: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``data`` between the least and the greatest query key, as plain comparisons for the scan."""
+    ends = [f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max))]
+    row = queries.agg(*ends).first()
+    for i, key in enumerate(keys):
+        if row[f"lo{i}"] is None:
+            return data.filter(F.lit(False))
+        data = data.filter(F.col(key).between(F.lit(row[f"lo{i}"]), F.lit(row[f"hi{i}"])))
+    return data
 
 
 # -- grids with levels --------------------------------------------------------
@@ -175,7 +190,9 @@ def plan_grid(queries: DataFrame, axes: Sequence[Axis], tuning: JoinTuning, *, m
     """Choose cell sides from the query table and measure what it expands to.
 
     Two aggregates over the query table, none over the data.  A side is half the
-    median query extent, but not far below the spacing between queries.
+    median query extent, but not far below the spacing between queries, which is
+    taken between the fifth and the last but fifth hundredth: a few far queries do
+    not widen the cells of all others.
     """
     finite = F.lit(float("inf"))
 
@@ -186,8 +203,8 @@ def plan_grid(queries: DataFrame, axes: Sequence[Axis], tuning: JoinTuning, *, m
     for i, axis in enumerate(axes):
         measures += [
             F.percentile_approx(known(axis.high.cast("double") - axis.low.cast("double")), 0.5, 1000).alias(f"m{i}"),
-            F.min(known(axis.low)).alias(f"lo{i}"),
-            F.max(known(axis.high)).alias(f"hi{i}"),
+            F.percentile_approx(known(axis.low), 0.05, 1000).alias(f"lo{i}"),
+            F.percentile_approx(known(axis.high), 0.95, 1000).alias(f"hi{i}"),
             F.min(axis.low).alias(f"first{i}"),
             F.max(axis.high).alias(f"last{i}"),
         ]
@@ -334,7 +351,8 @@ def match_keys(
 ) -> DataFrame:
     """``(qid, value)`` for every record whose key equals a query's key."""
     left = data.select(F.col(key).alias("__key"), F.col(value).alias("value"))
-    right = queries.select(F.col(k).alias("__key"), F.col(qid).alias("qid"))
+    right = _usable(queries.select(F.col(k).alias("__key"), F.col(qid).alias("qid")), ["__key"])
+    left = _between_extremes(left, right, ["__key"])
     small = _is_small(right, tuning)
     return join_on(left, right, ["__key"], small=small, tuning=tuning).select("qid", "value")
 
@@ -350,14 +368,41 @@ def match_key_ranges(
     high: str = "high",
     tuning: JoinTuning = DEFAULT_TUNING,
 ) -> DataFrame:
-    """``(qid, value)`` for every record with ``low <= key <= high``; ``low > high`` matches nothing."""
-    left = data.select(F.col(key).alias("__key"), F.col(value).alias("value")).filter(F.col("__key").isNotNull())
-    right = queries.select(F.col(qid).alias("qid"), F.col(low).alias("__low"), F.col(high).alias("__high")).filter(
-        F.col("__low") <= F.col("__high")
-    )
-    axis = Axis(F.col("__low"), F.col("__high"))
+    """``(qid, value)`` for every record with ``low <= key <= high``; ``low > high`` matches nothing.
+
+    Keys may be of any atomic type that has an order: numbers, dates, times, strings.
+    """
+    left = _usable(data.select(F.col(key).alias("__key"), F.col(value).alias("value")), ["__key"])
+    bounds = queries.select(F.col(qid).alias("qid"), F.col(low).alias("__low"), F.col(high).alias("__high"))
+    right = _usable(bounds, ["__low", "__high"]).filter(F.col("__low") <= F.col("__high"))
+    kind, skip = left.schema["__key"].dataType, 0
+    ends = right.agg(F.min("__low").alias("first"), F.max("__high").alias("last")).first()
+    if ends["first"] is not None:
+        left = left.filter(F.col("__key").between(F.lit(ends["first"]), F.lit(ends["last"])))
+    if isinstance(kind, T.StringType):
+        both = [(e or "").encode() for e in ends]
+        skip = next((i for i, (a, b) in enumerate(zip(*both)) if a != b), min(map(len, both)))
+    right = right.withColumns({"__from": _ordinal(F.col("__low").cast(kind), kind, skip), "__to": _ordinal(F.col("__high").cast(kind), kind, skip)})
+    left = left.withColumn("__at", _ordinal(F.col("__key"), kind, skip))
+    axis = Axis(F.col("__from"), F.col("__to"))
     predicate = F.col("__key").between(F.col("__low"), F.col("__high"))
-    return _range_match(left, [F.col("__key")], right, [axis], predicate, tuning).select("qid", "value")
+    return _range_match(left, [F.col("__at")], right, [axis], predicate, tuning).select("qid", "value")
+
+
+def _ordinal(key: Column, kind: T.DataType, skip: int) -> Column:
+    """A number that never falls as the key rises; equal numbers are told apart by the exact predicate.
+
+    For strings it is made from the seven bytes after the first ``skip``, which all
+    keys in question share.
+    """
+    if isinstance(kind, T.StringType):
+        digits = F.substring(F.hex(F.encode(key, "UTF-8")), 2 * skip + 1, 14)
+        return F.conv(F.rpad(digits, 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return key.cast("timestamp").cast("double")
+    return key.cast("double")
 
 
 # -- points -------------------------------------------------------------------
@@ -377,7 +422,8 @@ def match_points(
 ) -> DataFrame:
     """``(qid, value)`` for every point equal to a query point on both coordinates."""
     left = data.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("value"))
-    right = queries.select(F.col(px).alias("__x"), F.col(py).alias("__y"), F.col(qid).alias("qid"))
+    right = _usable(queries.select(F.col(px).alias("__x"), F.col(py).alias("__y"), F.col(qid).alias("qid")), ["__x", "__y"])
+    left = _between_extremes(left, right, ["__x", "__y"])
     small = _is_small(right, tuning)
     return join_on(left, right, ["__x", "__y"], small=small, tuning=tuning).select("qid", "value")
 
@@ -404,9 +450,9 @@ def match_points_in_rects(
 ) -> DataFrame:
     """``(qid, value)`` for every point inside a query rectangle; inverted ones match nothing."""
     left = data.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("value"))
-    left = left.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    left = _usable(left, ["__x", "__y"])
     box = Box.of(*_QUERY_BOX)
-    right = _query_boxes(queries, qid, sides).filter((box.xmin <= box.xmax) & (box.ymin <= box.ymax))
+    right = _usable(_query_boxes(queries, qid, sides), _QUERY_BOX).filter((box.xmin <= box.xmax) & (box.ymin <= box.ymax))
     axes = [Axis(box.xmin, box.xmax), Axis(box.ymin, box.ymax)]
     predicate = g.contains_point(box, "__x", "__y")
     return _range_match(left, [F.col("__x"), F.col("__y")], right, axes, predicate, tuning).select("qid", "value")
@@ -428,15 +474,15 @@ def _overlap_match(
     near = data.filter(grid.within_reach([box.xmin, box.ymin], [box.xmax, box.ymax]))
     left = _box_side(near, data_axes, grid, tuning.data_cells, grid.levels, "__own")
     # a data box may live on any coarser level, so queries show up on all of those; where that
-    # is too much to broadcast, one pass over the data's sides tells which levels it has
-    small, levels = grid.own_rows + grid.guest_rows <= tuning.broadcast_rows, None
+    # is too much to broadcast, one count per cell tells the occupied levels and the hot cells
+    small, levels, counts = grid.own_rows + grid.guest_rows <= tuning.broadcast_rows, None, None
     if not small and not data.isStreaming:
-        own = _own_level(data_axes, grid.sides, tuning.data_cells)
-        levels = sorted(row["level"] for row in near.select(own.alias("level")).distinct().collect())
+        counts = key_row_counts(left, _cell_keys(2))
+        levels = sorted(row["__level"] for row in counts.select("__level").distinct().collect())
     right = _box_side(queries, query_axes, grid, tuning.query_cells, levels, "__qown")
     right = right.drop("__side0", "__side1")
     small = small or _is_small(right, tuning)
-    met = join_on(left, right, _cell_keys(2), small=small, tuning=tuning)
+    met = join_on(left, right, _cell_keys(2), small=small, tuning=tuning, counts=counts)
 
     once = _and(
         [
@@ -450,7 +496,7 @@ def _overlap_match(
 
 def _data_boxes(data: DataFrame, value: str, sides: Sequence[str]) -> DataFrame:
     picked = data.select(F.col(value).alias("value"), *(F.col(s).alias(n) for s, n in zip(sides, _DATA_BOX)))
-    return picked.filter(_and([F.col(n).isNotNull() for n in _DATA_BOX]))
+    return _usable(picked, _DATA_BOX)
 
 
 def match_rects(
@@ -465,8 +511,7 @@ def match_rects(
 ) -> DataFrame:
     """``(qid, value)`` for every rectangle that touches or overlaps a query rectangle."""
     left = _data_boxes(data, value, sides)
-    right = _query_boxes(queries, qid, query_sides)
-    right = right.filter(_and([F.col(n).isNotNull() for n in _QUERY_BOX]))
+    right = _usable(_query_boxes(queries, qid, query_sides), _QUERY_BOX)
     predicate = g.intersects(Box.of(*_DATA_BOX), Box.of(*_QUERY_BOX))
     return _overlap_match(left, right, predicate, tuning).select("qid", "value")
 
@@ -484,8 +529,7 @@ def match_rects_at_points(
 ) -> DataFrame:
     """``(qid, value)`` for every rectangle that contains a query point."""
     left = _data_boxes(data, value, sides)
-    right = queries.select(
-        F.col(qid).alias("qid"), *(F.col(c).alias(n) for c, n in zip((px, py, px, py), _QUERY_BOX))
-    ).filter(F.col("__qxmin").isNotNull() & F.col("__qymin").isNotNull())
+    right = queries.select(F.col(qid).alias("qid"), *(F.col(c).alias(n) for c, n in zip((px, py, px, py), _QUERY_BOX)))
+    right = _usable(right, _QUERY_BOX)
     predicate = g.contains_point(Box.of(*_DATA_BOX), "__qxmin", "__qymin")
     return _overlap_match(left, right, predicate, tuning).select("qid", "value")

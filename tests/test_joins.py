@@ -16,7 +16,7 @@ INF = float("inf")
 TUNINGS = {
     "broadcast": JoinTuning(),
     "shuffle": JoinTuning(broadcast_rows=0),
-    "salted": JoinTuning(broadcast_rows=0, hot_rows=5, max_salts=4),
+    "salted": JoinTuning(broadcast_rows=0, hot_rows=5),
     "coarse": JoinTuning(query_cells=4, data_cells=1, broadcast_rows=0),
 }
 tuned = pytest.mark.parametrize("tuning", TUNINGS.values(), ids=TUNINGS.keys())
@@ -194,3 +194,63 @@ def test_single_lookups(spark):
     with pytest.raises(TypeError):
         l.key_query(kv, (3, 5))
     assert l.keys_equal(kv.withColumn("key", F.col("key").cast("string")), "5").count() == 2
+
+
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "int"), ("float", "double"), ("decimal(10,2)", "bigint")])
+def test_salted_keys_of_different_types_meet(spark, kinds):
+    """More hot keys than any limit there ever was, of unlike types: no row is lost."""
+    have, asked = kinds
+    kv = [(k, 10 * k + i) for k in range(1_100) for i in range(7)]
+    data = spark.createDataFrame(kv, "key bigint, value bigint").withColumn("key", F.col("key").cast(have))
+    queries = spark.createDataFrame([(q, q) for q in range(0, 1_200, 2)], "qid bigint, k bigint").withColumn("k", F.col("k").cast(asked))
+    got = j.match_keys(data, queries, tuning=TUNINGS["salted"])
+    assert answers(got) == sorted((k, v) for k, v in kv if k % 2 == 0)
+
+
+def test_salted_points_of_different_types_meet(spark):
+    points = [(i, float(i % 4), 0.5) for i in range(200)]
+    data = spark.createDataFrame(points, POINTS).withColumns({c: F.col(c).cast("float") for c in "xy"})
+    queries = spark.createDataFrame([(q, float(q), 0.5) for q in range(6)], "qid bigint, px double, py double")
+    got = j.match_points(data, queries, tuning=TUNINGS["salted"])
+    assert answers(got) == sorted((int(x), i) for i, x, _ in points)
+
+
+@tuned
+def test_unusable_queries_match_nothing(spark, tuning):
+    nan = float("nan")
+    points, rects = spark.createDataFrame(make_points(), POINTS), spark.createDataFrame(make_rects(), RECTS)
+    windows = spark.createDataFrame([(1, nan, 0.0, 1.0, 1.0), (2, 0.0, 0.0, nan, 1.0), (3, None, 0.0, 1.0, 1.0)], WINDOWS)
+    spots = spark.createDataFrame([(1, nan, 0.0), (2, 0.0, None)], "qid bigint, px double, py double")
+    assert answers(j.match_points_in_rects(points, windows, tuning=tuning)) == []
+    assert answers(j.match_rects(rects, windows, tuning=tuning)) == []
+    assert answers(j.match_rects_at_points(rects, spots, tuning=tuning)) == []
+    assert answers(j.match_points(points, spots, tuning=tuning)) == []
+
+
+def test_far_query_leaves_the_cells_of_the_others(spark):
+    rng = random.Random(12)
+    near = [(i, x, y, x + 1, y + 1) for i in range(400) for x, y in [(rng.uniform(0, 100), rng.uniform(0, 100))]]
+    box = j._query_boxes(spark.createDataFrame(near + [(999, 1e12, 1e12, 1e12 + 1, 1e12 + 1)], WINDOWS), "qid", ("qxmin", "qymin", "qxmax", "qymax"))
+    axes = [j.Axis(F.col("__qxmin"), F.col("__qxmax")), j.Axis(F.col("__qymin"), F.col("__qymax"))]
+    assert max(j.plan_grid(box, axes, JoinTuning()).sides) < 10
+
+
+@tuned
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(12,3)", "smallint"])
+def test_ranges_over_any_ordered_key(spark, tuning, kind):
+    rng = random.Random(13)
+    if kind == "string":
+        make = lambda n: f"customer#{n:05d}" + "é" * (n % 3)
+        data = spark.createDataFrame([(make(rng.randint(0, 3000)), i) for i in range(300)], "key string, value bigint")
+        ranges = [(i, make(n), make(n + rng.randint(0, 90))) for i, n in enumerate(rng.randint(0, 3000) for _ in range(40))]
+        table = spark.createDataFrame(ranges + [(90, "a", "z"), (91, "z", "a"), (92, "", "customer#01")], "qid bigint, low string, high string")
+    else:
+        cast = {"date": "date_add(DATE'2020-01-01', cast({0} AS int))", "timestamp": "timestamp_seconds({0} * 1000)",
+                "timestamp_ntz": "cast(timestamp_seconds({0} * 1000) AS timestamp_ntz)"}.get(kind, f"cast({{0}} AS {kind})")
+        data = spark.createDataFrame([(rng.randint(0, 3000), i) for i in range(300)], "key bigint, value bigint")
+        data = data.selectExpr(cast.format("key") + " AS key", "value")
+        ranges = [(i, n, n + rng.randint(0, 90)) for i, n in enumerate(rng.randint(0, 3000) for _ in range(40))]
+        table = spark.createDataFrame(ranges, "qid bigint, low bigint, high bigint")
+        table = table.selectExpr("qid", cast.format("low") + " AS low", cast.format("high") + " AS high")
+    want = data.crossJoin(table).filter("key BETWEEN low AND high").select("qid", "value")
+    assert answers(j.match_key_ranges(data, table, tuning=tuning)) == answers(want)
