@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_digest, written
+from .common import map_frames, quoted, text_digest, written
 from .shingles import hashes, remixed, shingles, words
 
 WORDS = 5
@@ -40,7 +40,6 @@ FUNCTIONS = 48
 FILTER_BITS = 23  # two to this power
 LEAST_WINDOW = 3  # windows have at least two to this power shingles
 _PROBES = 4
-_CHUNK = 1 << 18  # shingles worked on at once
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _SALT = _RANDOM.integers(0, 1 << 63, size=1024, dtype=np.uint64)
@@ -90,8 +89,7 @@ def prepared_items(items: DataFrame, *, item_id: str = "item_id", text: str = "t
 
     picked = items.select(quoted(item_id).alias("item_id"), quoted(text).cast("string").alias("text"))
     kind = picked.schema["item_id"].dataType.simpleString()
-    made = picked.mapInPandas(
-        batches, f"item_id {kind}, shingles array<string>, marks array<bigint>, minima array<bigint>, power int"
+    made = map_frames(picked, batches, f"item_id {kind}, shingles array<string>, marks array<bigint>, minima array<bigint>, power int"
     )
     same = made.groupBy(F.sha2(F.array_join("shingles", "\n"), 256).alias("content")).agg(
         F.min("item_id").alias("item_id"),
@@ -109,7 +107,7 @@ def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
             place = np.concatenate(_positions(frame["value"].to_numpy(np.int64).view(np.uint64), bits))
             yield pd.DataFrame({"slot": place >> 5, "mask": np.left_shift(1, place & 31)})
 
-    rows = values.mapInPandas(batches, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect()
+    rows = map_frames(values, batches, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect()
     held = np.zeros(1 << (bits - 5), dtype="<u4")
     for row in rows:
         held[row["slot"]] = row["mask"]
@@ -192,19 +190,13 @@ def find_leaks(
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, marks, texts = list(frame["doc_id"]), list(frame["mark"]), list(frame["text"])
-            start = weight = 0
-            for end, content in enumerate(texts, 1):  # chunks of bounded size; one long text may exceed it
-                weight += len(content or "")
-                if weight >= 6 * _CHUNK or end == len(texts):
-                    yield searched(ids[start:end], marks[start:end], texts[start:end])
-                    start, weight = end, 0
+            yield searched(list(frame["doc_id"]), list(frame["mark"]), list(frame["text"]))
 
     rows = docs.select(
         quoted(doc_id).alias("doc_id"), text_digest(quoted(text)).alias("mark"), quoted(text).cast("string").alias("text")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(batches, f"doc_id {kind}, mark bigint, hits array<bigint>, shared array<string>")
+    found = map_frames(rows, batches, f"doc_id {kind}, mark bigint, hits array<bigint>, shared array<string>")
     found = written(found, "leak-hits")
     found = found.dropDuplicates(["doc_id", "mark"])
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import map_frames, quoted, written
 from .url_filter import host_of
 
 # fixed values of HTML: how elements nest and break lines
@@ -247,7 +247,7 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
             yield pd.DataFrame(rows, columns=["host", "path", "share", "digest"])
 
     located = pages.select(host_of(quoted(url)).alias("host"), quoted(html).cast("string").alias("html"))
-    votes = located.mapInPandas(batches, "host string, path string, share double, digest bigint")
+    votes = map_frames(located, batches, "host string, path string, share double, digest bigint")
     # whole thousandths add up to the same sum in any order
     whole = F.round(F.col("share") * 1000).cast("bigint")
     tally = votes.groupBy("host", "path").agg(
@@ -279,4 +279,4 @@ def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     )
     met = rows.join(winners, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "path")
     kind = met.schema["page_id"].dataType.simpleString()
-    return met.mapInPandas(batches, f"page_id {kind}, url string, text string, n_chars bigint, path string")
+    return map_frames(met, batches, f"page_id {kind}, url string, text string, n_chars bigint, path string")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_digest
+from .common import map_frames, quoted, text_digest
 
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fingerprint": [fingerprint(t) for t in frame["text"]]})
 
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"))
-    return rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return map_frames(rows, batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def in_falling_order(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
@@ -195,8 +195,7 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     ordered = in_falling_order(docs, doc_id=doc_id, text=text)
     kind = ordered.schema["doc_id"].dataType.simpleString()
-    return ordered.select("bucket", "tail", "doc_id", "text").mapInPandas(
-        batches,
+    return map_frames(ordered.select("bucket", "tail", "doc_id", "text"), batches,
         f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )

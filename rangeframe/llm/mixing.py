@@ -16,8 +16,9 @@ Random numbers are digests of the document, so reruns agree, and all sums are
 integers, so they do not depend on the order of rows.
 
 A source of any size is ranked without being gathered: words are summed per
-source and slice of the ranking (``slices`` per source), a window over the slices
-finds the one where the target is reached, and only that slice's rows are sorted.
+source and wide slice of the ranking, a window over those finds the one where the
+target is reached, that one is cut into fine slices likewise, and only the rows
+of the one fine slice are sorted.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import quoted, unit_from_hex, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-SLICES = 1 << 16
+FINE_BITS = 10
+SLICES = 1 << 20  # of the ranking: a thousand wide ones, each of a thousand fine ones
 
 
 def length_preference(size: Column) -> Column:
@@ -102,7 +104,7 @@ def _rank(digest: Column, chance: Column) -> Column:
 
 
 def mixing_plan(
-    facts: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, slices: int = SLICES
+    facts: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES
 ) -> DataFrame:
     """One small row per (source, preference): what decides on each document of that class.
 
@@ -118,16 +120,10 @@ def mixing_plan(
     open_words = allotted.groupBy(F.col("source").alias("s")).agg(
         (F.first("target") - certain_words.cast("double")).alias("open")
     )
-    ranked = _ranked(facts, allotted, slices).filter("rank IS NOT NULL")
-    per_slice = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
-    reached = per_slice.select("source", "slice", (running - F.col("words")).alias("before"), running.alias("until"))
-    crossing = (
-        reached.join(open_words, F.col("source").eqNullSafe(F.col("s")))
-        .filter((F.col("before") < F.col("open")) & (F.col("until") >= F.col("open")))
-        .select("s", F.col("slice").alias("last_slice"), (F.col("open") - F.col("before")).alias("room"))
-    )
-    crossing = written(crossing, "mix-crossing")
+    ranked = _ranked(facts, allotted).filter("rank IS NOT NULL")
+    wide = _crossing(ranked.withColumn("slice", F.shiftright("slice", FINE_BITS)), open_words)
+    near = ranked.join(wide, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("slice", FINE_BITS) == F.col("last_slice")))
+    crossing = _crossing(near.drop("s", "last_slice", "room"), wide.select("s", F.col("room").alias("open")))
     inside = ranked.join(crossing, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("last_slice")))
     upto = Window.partitionBy("source").orderBy("rank", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (
@@ -157,6 +153,22 @@ def mixing_plan(
     )
 
 
+def _crossing(ranked: DataFrame, open_words: DataFrame) -> DataFrame:
+    """``(s, last_slice, room)``: per source the slice in which the open words are reached, and the words left there.
+
+    Words are summed per slice first, so the window sees a thousand rows of a source.
+    """
+    per_slice = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    running = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
+    reached = per_slice.select("source", "slice", (running - F.col("words")).alias("before"), running.alias("until"))
+    return written(
+        reached.join(open_words, F.col("source").eqNullSafe(F.col("s")))
+        .filter((F.col("before") < F.col("open")) & (F.col("until") >= F.col("open")))
+        .select("s", F.col("slice").alias("last_slice"), (F.col("open") - F.col("before")).alias("room")),
+        "mix-crossing",
+    )
+
+
 def _filled(gap: Column, fillers: Column) -> Column:
     """Digests of the documents that fill ``gap``: in falling size, each that still fits."""
     start = F.struct(gap.alias("gap"), F.array().cast("array<string>").alias("picked"))
@@ -175,18 +187,18 @@ def _before_cut() -> Column:
     return (F.col("slice") < F.col("last_slice")) | F.coalesce(inside, F.lit(False))
 
 
-def _ranked(facts: DataFrame, classes: DataFrame, slices: int) -> DataFrame:
+def _ranked(facts: DataFrame, classes: DataFrame) -> DataFrame:
     """Facts with what their class says, their rank and slice of the ranking."""
     renamed = classes.withColumnsRenamed({"source": "k_source", "preference": "k_preference", "size": "k_size"})
     keys = F.col("source").eqNullSafe(F.col("k_source")) & (F.col("preference") == F.col("k_preference"))
     met = facts.join(renamed, keys).drop("k_source", "k_preference", "k_size")
     with_rank = met.select("*", _rank(F.col("digest"), F.col("chance")).alias("rank"))
-    return with_rank.select("*", F.floor(F.col("rank") * slices).cast("int").alias("slice"))
+    return with_rank.select("*", F.floor(F.col("rank") * SLICES).cast("int").alias("slice"))
 
 
-def _decided(facts: DataFrame, plan: DataFrame, slices: int) -> DataFrame:
+def _decided(facts: DataFrame, plan: DataFrame) -> DataFrame:
     """Facts with their number of copies."""
-    ranked = _ranked(facts, plan, slices)
+    ranked = _ranked(facts, plan)
     closes = F.coalesce(F.array_contains("closing", F.col("digest")), F.lit(False))
     chosen = F.col("rank").isNotNull() & (F.col("last_slice").isNull() | _before_cut() | closes)
     return ranked.select("*", (F.col("certain") + chosen.cast("bigint")).alias("copies"))
@@ -200,7 +212,6 @@ def mix(
     source: str = "source",
     weights: Sequence[int] = WEIGHTS,
     max_copies: int = MAX_COPIES,
-    slices: int = SLICES,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` for every row of ``docs``.
 
@@ -210,8 +221,8 @@ def mix(
     """
     parts = document_facts(quoted(text), quoted(doc_id), quoted(source))
     facts = written(docs.select(quoted(doc_id).alias("doc_id"), *(c.alias(n) for n, c in parts.items())), "mix-facts")
-    plan = mixing_plan(facts, weights=weights, max_copies=max_copies, slices=slices)
-    return _decided(facts, plan, slices).select(
+    plan = mixing_plan(facts, weights=weights, max_copies=max_copies)
+    return _decided(facts, plan).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
@@ -224,7 +235,6 @@ def mixed_documents(
     source: str = "source",
     weights: Sequence[int] = WEIGHTS,
     max_copies: int = MAX_COPIES,
-    slices: int = SLICES,
 ) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
 
@@ -232,7 +242,7 @@ def mixed_documents(
     """
     parts = document_facts(quoted(text), quoted(doc_id), quoted(source))
     facts = written(docs.select(*(c.alias(n) for n, c in parts.items())), "mix-facts")
-    plan = mixing_plan(facts, weights=weights, max_copies=max_copies, slices=slices)
+    plan = mixing_plan(facts, weights=weights, max_copies=max_copies)
     rows = docs.select(*(c.alias(n) for n, c in parts.items()), F.struct(*map(quoted, docs.columns)).alias("row"))
-    decided = _decided(rows, plan, slices).filter("copies > 0")
+    decided = _decided(rows, plan).filter("copies > 0")
     return decided.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_digest, written
+from .common import map_frames, quoted, text_digest, written
 from .shingles import words
 
 ROUNDS = 3
@@ -220,7 +220,7 @@ def featured(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labe
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "mark": frame["mark"], "x": _featured(frame)})
 
-    made = rows.mapInPandas(batches, f"doc_id {kind}, mark bigint, x array<float>")
+    made = map_frames(rows, batches, f"doc_id {kind}, mark bigint, x array<float>")
     given = (
         labels.select(quoted(label_id).alias("l_id"), quoted(label).cast("double").alias("given"))
         .filter("given IS NOT NULL AND l_id IS NOT NULL")

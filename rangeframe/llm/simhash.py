@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, text_digest, written
+from .common import map_frames, quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
 
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, spec: Spec = EXACT, *, doc_id: str = "doc_id",
         quoted(doc_id).alias("doc_id"), text_digest(quoted(text)).alias("mark"), quoted(text).cast("string").alias("text")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInPandas(batches, f"doc_id {kind}, mark bigint, lanes array<bigint>, parts array<bigint>")
+    made = map_frames(rows, batches, f"doc_id {kind}, mark bigint, lanes array<bigint>, parts array<bigint>")
     # one lane is its own name; more lanes and the parts are named by a digest
     node = F.element_at("lanes", 1) if spec.lanes == 1 and not spec.index_words else F.xxhash64("lanes", "parts")
     return written(made.select("doc_id", "mark", "lanes", "parts", node.alias("node")), "simhash")
