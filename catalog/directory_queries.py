@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +20,13 @@ def agg_spatial_bounds(spark, sf):
     return around_points.unionByName(around_rects)
 
 
+BUCKET_ROWS = 4
+
+
 def agg_key_buckets(spark, sf):
-    """Values are shown as one comma-separated text per bucket."""
+    """Values are shown as one comma-separated text per bucket; most keys span several buckets."""
     listed = F.array_join(F.col("values").cast("array<string>"), ",")
-    return key_buckets(v.kv(spark, sf)).select(
+    return key_buckets(v.kv(spark, sf), bucket_rows=BUCKET_ROWS).select(
         "key", F.col("chunk").cast("bigint").alias("chunk"), "n_values", listed.alias("listed")
     )
 
@@ -49,22 +50,10 @@ def route_key(spark, sf):
     return d.route_keys(v.qkeys(spark, sf), chunks.cell_of(F.col("k")))
 
 
-FANOUTS = {"key-16": ("key", 16), "rect-16": ("rects", 16), "kd-2": ("points", 2), "quad-4": ("points", 4)}
-
-
-def dir_height_estimate(spark, sf):
-    rows = []
-    for name, (kind, fanout) in FANOUTS.items():
-        directory = dir_key(spark, sf) if kind == "key" else _mbr(spark, sf, kind)
-        row = d.height_estimate(directory, fanout, count_empty=kind == "key")
-        rows.append(row.select(F.lit(name).alias("directory"), "n_cells", "height"))
-    return reduce(DataFrame.unionByName, rows)
-
-
 def lay_pruning(spark, sf):
     data, queries = v.points(spark, sf), v.qrects(spark, sf)
     grid = fit_layout(data, "grid", at=POINT, n_cells=9)
-    return layout_shape(grid.assign(data, POINT), grid, queries, POINT, fanout=4)
+    return layout_shape(grid.assign(data, POINT), grid, queries, POINT)
 
 
 QUERIES = {
@@ -79,7 +68,6 @@ QUERIES = {
     "route_key_range": lambda spark, sf: d.route_key_ranges(v.qranges(spark, sf), dir_key(spark, sf)),
     "route_point": lambda spark, sf: d.route_points(v.qinside(spark, sf), _mbr(spark, sf, "rects")),
     "route_rect": lambda spark, sf: d.route_rects(v.qrects(spark, sf), _mbr(spark, sf, "points")),
-    "dir_height_estimate": dir_height_estimate,
     "lay_pruning": lay_pruning,
 }
 
@@ -99,19 +87,6 @@ _ROUTED = """routed AS (SELECT qid, cell, n_items FROM pd JOIN qrects
                ON xmin <= qxmax AND xmax >= qxmin AND ymin <= qymax AND ymax >= qymin)"""
 
 
-def _height(n: str, fanout: int) -> str:
-    powers = [fanout**i for i in range(1, 12)]
-    return "1 + " + " + ".join(f"CASE WHEN {n} > {p} THEN 1 ELSE 0 END" for p in powers)
-
-
-def _height_row(name: str, source: str, fanout: int) -> str:
-    counted = "count(*)" if source == "kd" else "count(*) FILTER (n_items > 0)"
-    return (
-        f"SELECT '{name}' AS directory, n AS n_cells, cast({_height('n', fanout)} AS integer) AS height "
-        f"FROM (SELECT greatest(1, {counted}) AS n FROM {source})"
-    )
-
-
 ORACLES = {
     "agg_key_bounds": sql("SELECT min(key) AS min_key, max(key) AS max_key, count(*) AS n_items FROM kv"),
     "agg_spatial_bounds": sql(
@@ -120,8 +95,9 @@ ORACLES = {
            SELECT 'rects', count(*), min(xmin), min(ymin), max(xmax), max(ymax) FROM rects"""
     ),
     "agg_key_buckets": sql(
-        """SELECT key, cast(0 AS bigint) AS chunk, count(*) AS n_values,
-                  string_agg(cast(value AS varchar), ',' ORDER BY value) AS listed FROM kv GROUP BY key"""
+        f"""SELECT key, chunk, count(*) AS n_values, string_agg(cast(value AS varchar), ',' ORDER BY value) AS listed
+            FROM (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY value) - 1) // {BUCKET_ROWS} AS chunk FROM kv)
+            GROUP BY key, chunk"""
     ),
     "agg_extreme_keys": sql("SELECT min(key) AS leftmost_key, max(key) AS rightmost_key FROM kv"),
     "dir_key": sql("SELECT * FROM kd", _CHUNKED, _KEY_DIR),
@@ -137,21 +113,10 @@ ORACLES = {
         "SELECT qid, cell FROM rd JOIN qinside ON px BETWEEN xmin AND xmax AND py BETWEEN ymin AND ymax", _RECT_DIR
     ),
     "route_rect": sql("SELECT qid, cell FROM routed", _POINT_DIR, _ROUTED),
-    "dir_height_estimate": sql(
-        " UNION ALL ".join(
-            _height_row(name, {"key": "kd", "rects": "rd", "points": "pd"}[kind], fanout)
-            for name, (kind, fanout) in FANOUTS.items()
-        ),
-        _CHUNKED,
-        _KEY_DIR,
-        _POINT_DIR,
-        _RECT_DIR,
-    ),
     "lay_pruning": sql(
-        f"""SELECT n_cells, n_rows, largest_cell, largest_cell * n_cells / n_rows AS skew, num_queries,
+        """SELECT n_cells, n_rows, largest_cell, largest_cell * n_cells / n_rows AS skew, num_queries,
                    cells / num_queries AS avg_cells, touched / num_queries AS avg_rows,
-                   cells / num_queries / n_cells AS cell_share, touched / num_queries / n_rows AS row_share,
-                   cast({_height('n_cells', 4)} AS integer) AS directory_height
+                   cells / num_queries / n_cells AS cell_share, touched / num_queries / n_rows AS row_share
             FROM (SELECT count(*) AS n_cells, cast(sum(n_items) AS bigint) AS n_rows, max(n_items) AS largest_cell
                   FROM pd WHERE n_items > 0),
                  (SELECT count(*) AS cells, cast(sum(n_items) AS bigint) AS touched FROM routed),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeframe.functions import cells as c
 from rangeframe.operators.kdsplit import kd_cells
-from rangeframe.operators.layouts import KEY, POINT, RECT, colocated, sorted_by_key, with_cells
+from rangeframe.operators.layouts import KEY, POINT, RECT, colocated, fit_layout, sorted_by_key, with_cells
 from rangeframe.operators.quadleaves import quad_height, quad_leaves
 
 from . import views as v
@@ -15,23 +18,41 @@ from .views import sql
 LEAF_CAPACITY, LEAF_DEPTH = 64, 8
 
 
+GRID_CELLS = (1, 2, 5, 9, 40, 1_000)
+QUAD_CELLS = (1, 4, 5, 64, 1_000)
+
+
 def lay_grid_dims(spark, sf):
-    n = F.col("n_cells")
-    rows, cols = c.grid_dimension_columns(n)
-    counted = v.kv(spark, sf).groupBy("key").agg(F.count(F.lit(1)).alias("n_cells"))
-    return counted.select("key", "n_cells", rows.alias("grid_rows"), cols.alias("grid_cols"))
+    """Sides of fitted grids, and how many of their cells the points occupy."""
+    points, rows = v.points(spark, sf), []
+    for n in GRID_CELLS:
+        grid = fit_layout(points, "grid", at=POINT, n_cells=n)
+        used = grid.assign(points, POINT).agg(F.count_distinct("cell").alias("occupied"))
+        rows.append(used.select(F.lit(n).alias("n_cells"), F.lit(grid.rows).alias("grid_rows"), F.lit(grid.cols).alias("grid_cols"), "occupied"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def lay_quad_depth(spark, sf):
-    return v.kv(spark, sf).select("value", c.quad_depth_column(F.col("value")).alias("depth"))
+    """Depths of fitted quadtrees, and how many of their cells the points occupy."""
+    points, rows = v.points(spark, sf), []
+    for n in QUAD_CELLS:
+        quad = fit_layout(points, "quad", at=POINT, n_cells=n)
+        used = quad.assign(points, POINT).agg(F.count_distinct("cell").alias("occupied"))
+        rows.append(used.select(F.lit(n).alias("n_cells"), F.lit(quad.depth).alias("depth"), "occupied"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+KD_CAPACITIES, KD_DEPTH = (200, 1_000), 12
 
 
 def lay_kd_height(spark, sf):
-    n = F.col("value")
-    return v.kv(spark, sf).select(
-        "value",
-        *(c.median_split_height_column(n, cap).alias(f"height_{cap}") for cap in (16, 32, 64)),
-    )
+    """Levels of the median-split trees over the points, read off their nodes."""
+    rows = []
+    for capacity in KD_CAPACITIES:
+        nodes = kd_cells(v.points(spark, sf), depth=KD_DEPTH, capacity=capacity)
+        levels = F.max(F.length(F.bin("node"))).cast("int")
+        rows.append(nodes.agg(levels.alias("height")).select(F.lit(capacity).alias("capacity"), "height"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def lay_grid_point(spark, sf):
@@ -94,29 +115,34 @@ leaves AS (SELECT c.level, c.path, c.n_items FROM cells c LEFT JOIN cells p
              AND (c.level = 0 OR p.n_items > {LEAF_CAPACITY}))"""
 
 
-def _height_sql(cap: int) -> str:
-    steps = " ".join(f"WHEN value // {2 ** j} <= {cap} THEN {j + 1}" for j in range(40))
-    return f"cast(CASE WHEN value <= 0 THEN 0 {steps} END AS integer) AS height_{cap}"
+def _grid_row(n: int) -> str:
+    cols = math.isqrt(n - 1) + 1 if n > 1 else 1
+    rows = -(-n // cols)
+    cell = v.grid_cell_sql("points.x", "points.y", "pb", rows, cols)
+    return f"SELECT {n} AS n_cells, {rows} AS grid_rows, {cols} AS grid_cols, count(DISTINCT {cell}) AS occupied FROM points, pb"
+
+
+def _quad_row(n: int) -> str:
+    depth = next(d for d in range(32) if 4**d >= n)
+    return f"SELECT {n} AS n_cells, {depth} AS depth, count(DISTINCT path) AS occupied FROM descent WHERE level = {depth}"
+
+
+def _kd_row(capacity: int) -> str:
+    # halving: the larger half keeps one record less than the rest when the pivot stays behind
+    steps = " ".join(f"WHEN n // {2 ** j} <= {capacity} THEN {j + 1}" for j in range(40))
+    return f"SELECT {capacity} AS capacity, cast(CASE {steps} END AS integer) AS height FROM (SELECT count(*) AS n FROM points)"
 
 
 ORACLES = {
     "lay_key_chunk": sql(f"SELECT kv.key, kv.value, {v.key_chunk_sql(8, 'kv.key')} AS cell FROM kv, kb"),
     "lay_key_sorted": sql("SELECT key, value FROM kv"),
-    "lay_grid_dims": sql(
-        """SELECT key, n_cells, cast(ceil(n_cells / ceil(sqrt(n_cells))) AS integer) AS grid_rows,
-                  cast(ceil(sqrt(n_cells)) AS integer) AS grid_cols
-           FROM (SELECT key, count(*) AS n_cells FROM kv GROUP BY key)"""
-    ),
+    "lay_grid_dims": sql(" UNION ALL ".join(map(_grid_row, GRID_CELLS))),
     "lay_grid_point": sql(f"SELECT value, {_P9} AS cell, {_P8} AS clamped FROM points, pb"),
     "lay_grid_rect": sql(
         f"""SELECT value, {v.grid_cell_sql('(rects.xmin + rects.xmax) / 2', '(rects.ymin + rects.ymax) / 2', 'rb', 3, 3)}
             AS cell FROM rects, rb"""
     ),
-    "lay_quad_depth": sql(
-        "SELECT value, cast(CASE WHEN value <= 1 THEN 0 "
-        + " ".join(f"WHEN value <= {4 ** d} THEN {d}" for d in range(1, 25))
-        + " END AS integer) AS depth FROM kv"
-    ),
+    "lay_quad_depth": sql(" UNION ALL ".join(map(_quad_row, QUAD_CELLS)), v.descent_sql(5), recursive=True),
     "lay_quad_cell": sql(
         """SELECT value, cast(path AS integer) AS cell, cast(least(path, 39) AS integer) AS clamped
            FROM descent WHERE level = 3""",
@@ -137,7 +163,7 @@ ORACLES = {
         recursive=True,
     ),
     "lay_kd_cells": sql("SELECT value, node FROM kd3", v.kd_sql(3, keep_pivot=True)),
-    "lay_kd_height": sql(f"SELECT value, {', '.join(_height_sql(cap) for cap in (16, 32, 64))} FROM kv"),
+    "lay_kd_height": sql(" UNION ALL ".join(map(_kd_row, KD_CAPACITIES))),
     "lay_by_name": sql(
         f"""SELECT 'key' AS layout, cell, count(*) AS n_items
             FROM (SELECT {v.key_chunk_sql(8, 'kv.key')} AS cell FROM kv, kb) GROUP BY cell

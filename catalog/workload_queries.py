@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeframe.functions import cells as c
 from rangeframe.operators import joins
-from rangeframe.operators.layouts import KEY, POINT, RECT, fit_layout
-from rangeframe.operators.quadleaves import quad_height, quad_leaves
+from rangeframe.operators.layouts import KEY, POINT, RECT
 from rangeframe.plans import workload as w
 from rangeframe.plans.runtime import scratch_path
 from rangeframe.plans.stored import StoredLayout
@@ -17,39 +14,34 @@ from . import views as v
 from .views import sql
 
 FIGURES = ("algorithm", "workload", "n_items", "num_queries", "total_results", "avg_results")
-
-
-def _workloads(spark, sf) -> list[tuple[str, str, DataFrame, DataFrame, DataFrame]]:
-    kv, points, rects = v.kv(spark, sf), v.points(spark, sf), v.rects(spark, sf)
-    keys, ranges = v.qkeys(spark, sf), v.qranges(spark, sf)
-    qpoints, qrects, inside = v.qpoints(spark, sf), v.qrects(spark, sf), v.qinside(spark, sf)
-    # the point families differ in their cells only: the same layouts, the same answers
-    kd = fit_layout(points, "kd", at=POINT, n_cells=8).assign(points, POINT)
-    quad = fit_layout(points, "quad", at=POINT, n_cells=16).assign(points, POINT)
-    return [
-        ("KeyChunks", "point", kv, keys, joins.match_keys(kv, keys)),
-        ("KeyChunks", "range", kv, ranges, joins.match_key_ranges(kv, ranges)),
-        ("Grid", "point-location", rects, inside, joins.match_rects_at_points(rects, inside)),
-        ("Grid", "rect-intersection", rects, qrects, joins.match_rects(rects, qrects)),
-        ("KdCells", "point", kd, qpoints, joins.match_points(kd, qpoints)),
-        ("KdCells", "rect-range", kd, qrects, joins.match_points_in_rects(kd, qrects)),
-        ("Quad", "point", quad, qpoints, joins.match_points(quad, qpoints)),
-        ("Quad", "rect-range", quad, qrects, joins.match_points_in_rects(quad, qrects)),
-    ]
+FAMILIES = {"KeyChunks": ("key", 8), "Grid": ("grid", 9), "KdCells": ("kd", 8), "Quad": ("quad", 16)}
 
 
 def wrk_family(spark, sf):
-    rows = [
-        w.summary(data, queries, pairs, algorithm=name, workload=kind)
-        for name, kind, data, queries, pairs in _workloads(spark, sf)
-    ]
-    return w.family(rows).select(*FIGURES)
+    """Every family answers its workloads from its own stored layout; ``cells`` tells its occupied cells."""
+    kv, points, rects = v.kv(spark, sf), v.points(spark, sf), v.rects(spark, sf)
+    qpoints, qrects = v.qpoints(spark, sf), v.qrects(spark, sf)
+    asked = {
+        "KeyChunks": (kv, KEY, {"point": v.qkeys(spark, sf), "range": v.qranges(spark, sf)}),
+        "Grid": (rects, RECT, {"point-location": v.qinside(spark, sf), "rect-intersection": qrects}),
+        "KdCells": (points, POINT, {"point": qpoints, "rect-range": qrects}),
+        "Quad": (points, POINT, {"point": qpoints, "rect-range": qrects}),
+    }
+    base, rows = scratch_path(spark, "family"), []
+    for name, (data, at, workloads) in asked.items():
+        by, n_cells = FAMILIES[name]
+        stored = StoredLayout.create(data, f"{base}/{name}", by, at=at, n_cells=n_cells)
+        cells = stored.directory().agg(F.count(F.lit(1)).alias("n")).scalar()
+        for kind, queries in workloads.items():
+            row = w.summary(stored.data(), queries, stored.match(queries), algorithm=name, workload=kind, extra={"cells": cells})
+            rows.append(row.select(*FIGURES, F.col("extra")["cells"].cast("bigint").alias("cells")))
+    return w.family(rows)
 
 
 def wrk_summary(spark, sf):
     data, queries = v.points(spark, sf), v.qrects(spark, sf)
     pairs = joins.match_points_in_rects(data, queries)
-    return w.summary(data, queries, pairs, algorithm="Grid", workload="rect-range").select(*FIGURES)
+    return w.summary(data, queries, pairs, algorithm="points", workload="rect-range").select(*FIGURES)
 
 
 def wrk_per_query(spark, sf):
@@ -57,31 +49,21 @@ def wrk_per_query(spark, sf):
     return w.per_query(joins.match_points_in_rects(data, queries), queries)
 
 
-CAPACITIES = (16, 32, 64)
+SETTINGS = {"kd-4": ("kd", 4), "kd-16": ("kd", 16), "quad-4": ("quad", 4), "quad-64": ("quad", 64), "grid-4": ("grid", 4), "grid-16": ("grid", 16)}
 
 
 def wrk_compare(spark, sf):
-    """One workload over layouts and settings: answers stay, shapes change."""
-    data, queries = v.points(spark, sf), v.qrects(spark, sf)
-    pairs = joins.match_points_in_rects(data, queries)
-    base = w.summary(data, queries, pairs, algorithm="points", workload="rect-range").select(
-        "num_queries", "total_results", "n_items"
-    )
-    settings = {}
-    for cap in CAPACITIES:
-        height = c.median_split_height_column(F.col("n_items"), cap)
-        settings[f"kd-{cap}"] = lambda height=height: base.select("*", height.alias("height"))
-        leaves = quad_leaves(data, capacity=cap, max_depth=6)
-        settings[f"quad-{cap}"] = lambda leaves=leaves: base.select(
-            "*", quad_height(leaves).scalar().alias("height")
-        )
-    for n_cells in (4, 9, 16):
-        grid = fit_layout(data, "grid", at=POINT, n_cells=n_cells)
-        shape = w.layout_shape(grid.assign(data, POINT), grid, queries, POINT, fanout=4)
-        settings[f"grid-{n_cells}"] = lambda shape=shape: base.select(
-            "*", shape.select("directory_height").scalar().alias("height")
-        )
-    return w.compare(settings)
+    """One workload over layouts and sizes, each stored and asked: answers stay, cells change."""
+    data, queries, base = v.points(spark, sf), v.qrects(spark, sf), scratch_path(spark, "settings")
+
+    def asked(name):
+        by, n_cells = SETTINGS[name]
+        stored = StoredLayout.create(data, f"{base}/{name}", by, at=POINT, n_cells=n_cells)
+        cells = stored.directory().agg(F.count(F.lit(1)).alias("n")).scalar()
+        row = w.summary(stored.data(), queries, stored.match(queries), algorithm=by, workload="rect-range", extra={"cells": cells})
+        return row.select("num_queries", "total_results", "n_items", F.col("extra")["cells"].cast("bigint").alias("cells"))
+
+    return w.compare({name: lambda name=name: asked(name) for name in SETTINGS})
 
 
 def wrk_indexed_vs_scan(spark, sf):
@@ -103,13 +85,12 @@ def wrk_indexed_vs_scan(spark, sf):
 
 
 def wrk_timing(spark, sf):
+    """Seconds differ from run to run; the flags and all other columns do not."""
     data, queries = v.points(spark, sf), v.qrects(spark, sf)
-    grid = fit_layout(data, "grid", at=POINT, n_cells=9)
-    return w.timed(
-        wrk_summary(spark, sf),
-        lambda: grid.assign(data, POINT),
-        lambda laid_out: joins.match_points_in_rects(laid_out, queries),
-    )
+    path = scratch_path(spark, "timed")
+    row = w.timed(lambda: StoredLayout.create(data, path, "grid", at=POINT, n_cells=9), queries, algorithm="Grid", workload="rect-range")
+    timed = ("build_seconds", "query_total_seconds", "query_avg_seconds")
+    return row.select(*FIGURES, *((F.col(c) >= 0).alias(f"has_{c}") for c in timed))
 
 
 QUERIES = {
@@ -134,54 +115,58 @@ def _row(algorithm: str, workload: str, data: str, queries: str, pairs: str) ->
     )
 
 
+def _cells(table: str, cell: str) -> str:
+    return f"(SELECT count(DISTINCT {cell}) FROM {table})"
+
+
+_KEYS = _cells("kv, kb", v.key_chunk_sql(8, "kv.key"))
+_BOXES = _cells("rects, rb", v.grid_cell_sql("(rects.xmin + rects.xmax) / 2", "(rects.ymin + rects.ymax) / 2", "rb", 3, 3))
 _FAMILY = " UNION ALL ".join(
-    _row(*r)
-    for r in (
-        ("KeyChunks", "point", "kv", "qkeys", "kv JOIN qkeys ON key = k"),
-        ("KeyChunks", "range", "kv", "qranges", "kv JOIN qranges ON key BETWEEN low AND high"),
-        ("Grid", "point-location", "rects", "qinside", _HOLD),
-        ("Grid", "rect-intersection", "rects", "qrects", _MEET),
-        ("KdCells", "point", "points", "qpoints", _SAME),
-        ("KdCells", "rect-range", "points", "qrects", _RANGE),
-        ("Quad", "point", "points", "qpoints", _SAME),
-        ("Quad", "rect-range", "points", "qrects", _RANGE),
+    f"SELECT *, {cells} AS cells FROM ({_row(*r)})"
+    for *r, cells in (
+        ("KeyChunks", "point", "kv", "qkeys", "kv JOIN qkeys ON key = k", _KEYS),
+        ("KeyChunks", "range", "kv", "qranges", "kv JOIN qranges ON key BETWEEN low AND high", _KEYS),
+        ("Grid", "point-location", "rects", "qinside", _HOLD, _BOXES),
+        ("Grid", "rect-intersection", "rects", "qrects", _MEET, _BOXES),
+        ("KdCells", "point", "points", "qpoints", _SAME, _cells("kd3", "node")),
+        ("KdCells", "rect-range", "points", "qrects", _RANGE, _cells("kd3", "node")),
+        ("Quad", "point", "points", "qpoints", _SAME, _cells("(SELECT path FROM descent WHERE level = 2)", "path")),
+        ("Quad", "rect-range", "points", "qrects", _RANGE, _cells("(SELECT path FROM descent WHERE level = 2)", "path")),
     )
 )
 
-_CELLS = "cells AS (SELECT level, path, count(*) AS n_items FROM descent GROUP BY level, path)"
-
 
 def _compare_sql() -> str:
     base = f"""base AS (SELECT (SELECT count(*) FROM qrects) AS num_queries, (SELECT count(*) FROM {_RANGE}) AS total_results,
                         (SELECT count(*) FROM points) AS n_items)"""
-    rows = []
-    for cap in CAPACITIES:
-        steps = " ".join(f"WHEN n_items // {2 ** j} <= {cap} THEN {j + 1}" for j in range(40))
-        rows.append(f"SELECT 'kd-{cap}' AS setting, *, cast(CASE {steps} END AS integer) AS height FROM base")
-        # a cell is internal while it is over capacity, so the deepest leaf lies one below the deepest internal cell
-        rows.append(
-            f"""SELECT 'quad-{cap}', *, (SELECT cast(coalesce(max(level) + 2, 1) AS integer) FROM cells
-                WHERE n_items > {cap} AND level < 6) FROM base"""
-        )
-    for n_cells, side in ((4, 2), (9, 3), (16, 4)):
-        cell = v.grid_cell_sql("points.x", "points.y", "pb", side, side)
-        height = " + ".join(f"CASE WHEN n > {4 ** i} THEN 1 ELSE 0 END" for i in range(1, 6))
-        rows.append(
-            f"""SELECT 'grid-{n_cells}', *, (SELECT cast(1 + {height} AS integer)
-                FROM (SELECT count(DISTINCT {cell}) AS n FROM points, pb)) FROM base"""
-        )
-    return sql(" UNION ALL ".join(rows), v.descent_sql(6), _CELLS, base, recursive=True)
+    cells = {"kd-4": _cells("kd2", "node"), "kd-16": _cells("kd4", "node")}
+    for name, depth in (("quad-4", 1), ("quad-64", 3)):
+        cells[name] = _cells(f"(SELECT path FROM descent WHERE level = {depth})", "path")
+    for name, side in (("grid-4", 2), ("grid-16", 4)):
+        cells[name] = _cells("points, pb", v.grid_cell_sql("points.x", "points.y", "pb", side, side))
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS setting, *, {n} AS cells FROM base" for name, n in cells.items())
+    return sql(rows, v.descent_sql(3), v.kd_sql(4, keep_pivot=False), base, recursive=True)
 
 
 ORACLES = {
     "wrk_summary": sql(
-        f"SELECT *, total_results / num_queries AS avg_results FROM ({_row('Grid', 'rect-range', 'points', 'qrects', _RANGE)})"
+        f"SELECT *, total_results / num_queries AS avg_results FROM ({_row('points', 'rect-range', 'points', 'qrects', _RANGE)})"
     ),
     "wrk_per_query": sql(
         f"""SELECT q.qid, count(h.value) AS n_results FROM qrects q
             LEFT JOIN (SELECT qid, value FROM {_RANGE}) h ON h.qid = q.qid GROUP BY q.qid"""
     ),
-    "wrk_family": sql(f"SELECT *, total_results / num_queries AS avg_results FROM ({_FAMILY})"),
+    "wrk_family": sql(
+        f"SELECT * EXCLUDE (cells), total_results / num_queries AS avg_results, cells FROM ({_FAMILY})",
+        v.descent_sql(2),
+        v.kd_sql(3, keep_pivot=False),
+        recursive=True,
+    ),
+    "wrk_timing": sql(
+        f"""SELECT *, total_results / num_queries AS avg_results, true AS has_build_seconds,
+                   true AS has_query_total_seconds, true AS has_query_avg_seconds
+            FROM ({_row('Grid', 'rect-range', 'points', 'qrects', _RANGE)})"""
+    ),
     "wrk_compare": _compare_sql(),
     "wrk_indexed_vs_scan": sql(
         f"""SELECT 'key' AS data, (SELECT count(*) FROM kv JOIN qranges ON key BETWEEN low AND high) AS total_results,

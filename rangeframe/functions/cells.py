@@ -64,13 +64,6 @@ def grid_dimensions(n_cells: int) -> tuple[int, int]:
     return max(1, -(-n_cells // cols)), cols
 
 
-def grid_dimension_columns(n_cells: Column) -> tuple[Column, Column]:
-    """The same ``(rows, cols)`` for a column of cell counts."""
-    cols = F.greatest(F.lit(1), F.ceil(F.sqrt(n_cells.cast("double")))).cast("int")
-    rows = F.greatest(F.lit(1), F.ceil(n_cells / cols)).cast("int")
-    return rows, cols
-
-
 def cell_sides(bounds: Bounds, rows: int, cols: int, min_cell: float = 1.0) -> tuple[float, float]:
     """Cell width and height; neither drops below ``min_cell`` data units."""
     width = max(bounds.xmax - bounds.xmin, min_cell)
@@ -111,12 +104,6 @@ def quad_depth(n_cells: int) -> int:
     return ((n_cells - 1).bit_length() + 1) // 2 if n_cells > 1 else 0
 
 
-def quad_depth_column(n_cells: Column) -> Column:
-    """The same for a column: half the bit length of ``n - 1``, rounded up."""
-    bits = F.length(F.bin(n_cells.cast("bigint") - 1))
-    return F.when(n_cells <= 1, F.lit(0)).otherwise(integer_div(bits + 1, F.lit(2)).cast("int"))
-
-
 def with_quad_path(
     df: DataFrame,
     x: Column,
@@ -204,55 +191,3 @@ class _AxisDescent:
             F.when(self.above, mid).otherwise(low).alias(self._c("low")),
             F.when(self.above, high).otherwise(mid).alias(self._c("high")),
         ]
-
-
-# -- shape arithmetic ---------------------------------------------------------
-
-
-def median_split_height(n_items: int, capacity: int) -> int:
-    """Levels of a median-split tree over ``n_items``; depends on counts only."""
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
-    if n_items <= 0:
-        return 0
-    height = 1
-    while n_items > capacity:
-        n_items //= 2
-        height += 1
-    return height
-
-
-def median_split_height_column(n_items: Column, capacity: int) -> Column:
-    """The same for a column of counts."""
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
-    halvings = F.filter(
-        F.sequence(F.lit(0), F.lit(62)), lambda j: F.call_function("shiftright", n_items.cast("bigint"), j) > capacity
-    )
-    return F.when(n_items <= 0, F.lit(0)).otherwise(F.size(halvings) + 1).cast("int")
-
-
-def directory_height(n_cells: int, fanout: int) -> int:
-    """Levels of a directory of ``n_cells`` entries with ``fanout`` per node."""
-    if fanout < 2:
-        raise ValueError("fanout must be at least 2")
-    height, left = 1, max(1, n_cells)
-    while left > fanout:
-        left = -(-left // fanout)
-        height += 1
-    return height
-
-
-def directory_height_column(n_cells: Column, fanout: int) -> Column:
-    """The same for a column of cell counts: compares with the powers of the fan-out."""
-    if fanout < 2:
-        raise ValueError("fanout must be at least 2")
-    powers, power = [], fanout
-    while power < 2**62:
-        powers.append(power)
-        power *= fanout
-    over = [F.when(n_cells.cast("bigint") > F.lit(p), F.lit(1)).otherwise(F.lit(0)) for p in powers]
-    total = F.lit(1)
-    for term in over:
-        total = total + term
-    return total.cast("int")

@@ -37,11 +37,6 @@ class Box(NamedTuple):
     def literal(cls, xmin: float, ymin: float, xmax: float, ymax: float) -> "Box":
         return cls(*(F.lit(float(v)) for v in (xmin, ymin, xmax, ymax)))
 
-    @classmethod
-    def at_point(cls, x, y) -> "Box":
-        x, y = _column(x), _column(y)
-        return cls(x, y, x, y)
-
 
 def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

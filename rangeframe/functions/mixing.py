@@ -24,8 +24,11 @@ STREAM_STEP = 104_729
 def mixed(id_col: Column, seed: int, stream: int) -> Column:
     """Pseudo-random BIGINT in ``[0, MODULUS)``; every product stays below 2**63."""
     offset = (seed * SEED_STEP + stream * STREAM_STEP) % MODULUS
-    base = F.pmod(id_col.cast("bigint"), F.lit(MODULUS))
-    first = F.pmod(base * MULTIPLIER_A + F.lit(offset), F.lit(MODULUS))
+    key = id_col.cast("bigint")
+    base = F.pmod(key, F.lit(MODULUS))
+    # how often the modulus went into the id; without it the draws would repeat after 2**31 - 1 ids
+    turns = F.pmod(F.pmod(F.call_function("div", key - base, F.lit(MODULUS).cast("bigint")), F.lit(MODULUS)) * MULTIPLIER_B, F.lit(MODULUS))
+    first = F.pmod(base * MULTIPLIER_A + turns + F.lit(offset), F.lit(MODULUS))
     squared = F.pmod(first * first, F.lit(MODULUS))
     second = F.pmod(squared + F.pmod(first * MULTIPLIER_B, F.lit(MODULUS)) + base, F.lit(MODULUS))
     return F.pmod(second * MULTIPLIER_C + F.lit(offset + stream), F.lit(MODULUS))

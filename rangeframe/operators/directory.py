@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells as c
 from ..functions.cells import Bounds
 from ..plans.runtime import cut_lineage
 from . import joins
@@ -174,17 +173,6 @@ def route_rects(
 # -- shape --------------------------------------------------------------------
 
 
-def height_estimate(directory: DataFrame, fanout: int, *, count_empty: bool = False) -> DataFrame:
-    """One row ``(n_cells, height)``: levels of a directory with ``fanout`` entries per node.
-
-    Spatial directories count occupied cells, key directories all of them.
-    """
-    counted = F.count(F.lit(1)) if count_empty else F.count(F.when(F.col("n_items") > 0, F.lit(1)))
-    return directory.agg(F.greatest(F.lit(1), counted).cast("bigint").alias("n_cells")).withColumn(
-        "height", c.directory_height_column(F.col("n_cells"), fanout)
-    )
-
-
 def item_count(directory: DataFrame) -> DataFrame:
     """One row ``(n_items)`` without touching the data."""
     return directory.agg(F.coalesce(F.sum("n_items"), F.lit(0)).cast("bigint").alias("n_items"))

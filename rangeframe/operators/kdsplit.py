@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.runtime import cut_lineage
+
 WINDOW_ROWS = 1_000_000
-MAX_KD_DEPTH = 14  # at most 2**14 nodes travel with the plan
+MAX_KD_DEPTH = 40  # heap numbers stay far inside BIGINT
+LEVELS_PER_CUT = 4
 QUANTILE_ACCURACY = 10_000
 MARKS_PER_UNIT = 100_000
 MOST_MARKS = 256
@@ -172,7 +175,7 @@ def select_ranks(
 
 def _pivots_by_selection(
     df: DataFrame, axis: str, value: str, sizes: dict[int, int], window_rows: int
-) -> list[tuple[int, float, int]]:
+) -> list[tuple[int, float, object]]:
     """``(node, pivot coordinate, pivot value)`` of each node: first by coordinate, then among its ties."""
     by_coordinate = select_ranks(df, "node", axis, {k: (n // 2, n) for k, n in sizes.items()}, window_rows)
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("__at", df.schema[axis].dataType)])
@@ -227,16 +230,20 @@ def kd_cells(
         raise ValueError("capacity must be at least 1")
     if not 0 <= depth <= MAX_KD_DEPTH:
         raise ValueError(f"depth must be in [0, {MAX_KD_DEPTH}]")
-    n_items = df.count() if n_items is None else n_items
     state = df.withColumns({"node": F.lit(ROOT).cast("bigint"), "settled": F.lit(False)})
+    if depth:  # the source is computed once, however many passes its levels take
+        state = cut_lineage(state)
+    n_items = state.count() if n_items is None else n_items
     for level, sizes in enumerate(node_sizes(n_items, depth, capacity, keep_pivot)):
         if not sizes:
             break
         axis = x if level % 2 == 0 else y
         if max(sizes.values()) > window_rows:
-            state = _split_by_pivots(state, axis, value, sizes, keep_pivot, window_rows)
+            state = cut_lineage(_split_by_pivots(state, axis, value, sizes, keep_pivot, window_rows))
         else:
             state = _split_by_window(state, axis, value, capacity, keep_pivot, level)
+            if level % LEVELS_PER_CUT == LEVELS_PER_CUT - 1:
+                state = cut_lineage(state)
     return state.select(*df.columns, F.col("node").alias(node))
 
 

@@ -17,14 +17,14 @@ from ..functions import geometry as g
 from ..functions.cells import Bounds
 from ..functions.geometry import Box
 from .directory import key_bounds, point_bounds, read_bounds
-from .kdsplit import MAX_KD_DEPTH, ROOT, kd_cells
+from .kdsplit import ROOT, kd_cells
 
-MAX_CELLS = 100_000
+MAX_CELLS = 100_000  # default of ``most_cells``: cells travel with the plan and are listed on the driver
 
 
-def _check_cells(n_cells: int) -> None:
-    if not 1 <= n_cells <= MAX_CELLS:
-        raise ValueError(f"the number of cells must be in [1, {MAX_CELLS}]")
+def _check_cells(n_cells: int, most_cells: int) -> None:
+    if not 1 <= n_cells <= most_cells:
+        raise ValueError(f"the number of cells must be in [1, {most_cells}]; most_cells raises the limit")
 
 
 @dataclass(frozen=True)
@@ -70,8 +70,8 @@ class KeyChunks:
     name = "key"
 
     @classmethod
-    def fit(cls, df: DataFrame, at: Position, n_cells: int) -> "KeyChunks":
-        _check_cells(n_cells)
+    def fit(cls, df: DataFrame, at: Position, n_cells: int, *, most_cells: int = MAX_CELLS) -> "KeyChunks":
+        _check_cells(n_cells, most_cells)
         row = key_bounds(df, key=at.columns[0]).first()
         if row["n_items"] == 0:
             return cls(0, 1, n_cells)
@@ -97,9 +97,9 @@ class Grid:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, at: Position, n_cells: int, *, clamp: bool = False, min_cell: float = 1.0
+        cls, df: DataFrame, at: Position, n_cells: int, *, clamp: bool = False, min_cell: float = 1.0, most_cells: int = MAX_CELLS
     ) -> "Grid":
-        _check_cells(n_cells)
+        _check_cells(n_cells, most_cells)
         rows, cols = c.grid_dimensions(n_cells)
         return cls(_data_bounds(df, at), rows, cols, n_cells if clamp else None, min_cell)
 
@@ -123,8 +123,8 @@ class Quad:
     name = "quad"
 
     @classmethod
-    def fit(cls, df: DataFrame, at: Position, n_cells: int, *, clamp: bool = False) -> "Quad":
-        _check_cells(n_cells)
+    def fit(cls, df: DataFrame, at: Position, n_cells: int, *, clamp: bool = False, most_cells: int = MAX_CELLS) -> "Quad":
+        _check_cells(n_cells, most_cells)
         return cls(_data_bounds(df, at), c.quad_depth(n_cells), n_cells if clamp else None)
 
     @property
@@ -145,17 +145,19 @@ class KdCells:
     """Median-split cells; ``pivots`` holds ``(node, coord, value)`` of each splitting node."""
 
     depth: int
-    pivots: tuple[tuple[int, float, int], ...] = ()
+    pivots: tuple[tuple[int, float, object], ...] = ()
+    value_type: str = "bigint"
     name = "kd"
 
     @classmethod
-    def fit(cls, df: DataFrame, at: Position, n_cells: int) -> "KdCells":
-        _check_cells(n_cells)
-        depth = min(MAX_KD_DEPTH, (n_cells - 1).bit_length())
+    def fit(cls, df: DataFrame, at: Position, n_cells: int, *, most_cells: int = MAX_CELLS) -> "KdCells":
+        _check_cells(n_cells, most_cells)
+        depth = (n_cells - 1).bit_length()
         x, y = at.xy
         placed = df.select(x.alias("x"), y.alias("y"), F.col(at.value).alias("value"))
+        kind = placed.schema["value"].dataType.simpleString()
         placed = kd_cells(placed, depth=depth, keep_pivot=False)
-        return cls(depth, tuple(_pivots(placed, depth)))
+        return cls(depth, tuple(_pivots(placed, depth)), kind)
 
     @property
     def n_cells(self) -> int:
@@ -168,7 +170,8 @@ class KdCells:
         state = df.withColumns({"__node": F.lit(ROOT).cast("bigint"), "__x": x, "__y": y})
         for level in range(self.depth):
             rows = [p for p in self.pivots if p[0].bit_length() == level + 1]
-            pivots = spark.createDataFrame(rows, "__node bigint, __coord double, __pivot bigint")
+            pivots = spark.createDataFrame([(n, c, str(p)) for n, c, p in rows], "__node bigint, __coord double, __pivot string")
+            pivots = pivots.withColumn("__pivot", F.col("__pivot").cast(self.value_type))
             state = state.join(F.broadcast(pivots), "__node", "left")
             v = F.col("__x" if level % 2 == 0 else "__y")
             right = (v > F.col("__coord")) | ((v == F.col("__coord")) & (F.col(at.value) >= F.col("__pivot")))
@@ -179,7 +182,7 @@ class KdCells:
         return state.select(*df.columns, number.alias(cell))
 
 
-def _pivots(placed: DataFrame, depth: int) -> list[tuple[int, float, int]]:
+def _pivots(placed: DataFrame, depth: int) -> list[tuple[int, float, object]]:
     """The least record of each right half, which is the record its parent split at."""
     if depth == 0:
         return []

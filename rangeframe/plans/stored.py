@@ -1,14 +1,23 @@
 """Layouts on storage: partitioned parquet with a directory next to it.
 
-``data/batch=B/cell=C`` holds the records, ``directory/batch=B`` one row per cell
-and batch, ``layout`` the numbers that fix the cells.  A batch is written under
-its own name, so repeating one after a failure replaces it instead of adding it twice.
+``layout`` holds the numbers that fix the cells and names the version in use, a
+folder of its own: re-creating or compacting a layout writes a new version and
+then publishes it, so readers never see a mixture.
+
+Inside a version ``data/part=P/cell=C`` holds records and ``directory/batch=B`` one row
+per cell of a batch, with the part that holds its records.  A batch's records are written
+first and its directory is read off them, so the input is computed once;
+writing the directory publishes the part.  A batch that is repeated publishes
+a new part instead of the old one and never adds records twice.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +39,14 @@ from ..operators.layouts import (
 from ..operators.lookup import KeyAt, KeyRange, PointAt, Window, key_query, point_query, rect_query
 from ..schema import drop_unusable
 
-PRUNED_CELLS = 2_000  # longest list of cells put into a partition filter
+CELL_RANGES = 200  # most ranges of cells in a partition filter; beyond it the nearest ranges are joined
+
+
+def cell_ranges(cells: list[int], most: int) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that cover the sorted cells; the widest gaps between cells stay out."""
+    gaps = sorted(range(1, len(cells)), key=lambda i: cells[i - 1] - cells[i])
+    starts = sorted(i for i in gaps[: most - 1] if cells[i] - cells[i - 1] > 1)
+    return [(cells[a], cells[b - 1]) for a, b in zip([0, *starts], [*starts, len(cells)])]
 
 
 @dataclass(frozen=True)
@@ -42,6 +58,8 @@ class StoredLayout:
     layout: Layout
     at: Position
     schema: T.StructType
+    version: str
+    compacted: tuple[str, ...] = ()  # batches that can no longer be replaced one by one
 
     # -- writing --
 
@@ -49,23 +67,27 @@ class StoredLayout:
     def create(
         cls, df: DataFrame, path: str, by: str, *, at: Position, n_cells: int, batch: str = "base", **options
     ) -> "StoredLayout":
-        """Fit a layout to ``df``, write it and return the handle."""
+        """Fit a layout to ``df``, write it and return the handle; an older layout at ``path`` is superseded."""
         df = drop_unusable(df, list(at.columns))
         layout = fit_layout(df, by, at=at, n_cells=n_cells, **options)
-        stored = cls(df.sparkSession, path.rstrip("/"), layout, at, df.schema)
+        stored = cls(df.sparkSession, path.rstrip("/"), layout, at, df.schema, uuid.uuid4().hex)
+        stored.append(df, batch)
+        stored._publish()
+        return stored
+
+    def _publish(self) -> None:
         description = json.dumps(
             {
-                "layout": layout_to_dict(layout),
-                "columns": list(at.columns),
-                "value": at.value,
-                "schema": json.loads(df.schema.json()),
-            }
-        )
-        stored.spark.createDataFrame([(description,)], "value string").write.mode("overwrite").text(
-            f"{stored.path}/layout"
+                "layout": layout_to_dict(self.layout),
+                "columns": list(self.at.columns),
+                "value": self.at.value,
+                "schema": json.loads(self.schema.json()),
+                "version": self.version,
+                "compacted": list(self.compacted),
+            },
+            default=str,
         )
-        stored.append(df, batch)
-        return stored
+        self.spark.createDataFrame([(description,)], "value string").write.mode("overwrite").text(f"{self.path}/layout")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "StoredLayout":
@@ -77,21 +99,39 @@ class StoredLayout:
             layout_from_dict(state["layout"]),
             Position(tuple(state["columns"]), state["value"]),
             T.StructType.fromJson(state["schema"]),
+            state["version"],
+            tuple(state["compacted"]),
         )
 
-    def append(self, df: DataFrame, batch: str) -> None:
-        """Add records under the stored cells; records outside the bounds go to edge cells.
+    @property
+    def _folder(self) -> str:
+        return f"{self.path}/{self.version}"
 
-        The directory is written first: if the second write fails, a lookup reads a
-        cell too many, never one too few.
-        """
+    def append(self, df: DataFrame, batch: str) -> None:
+        """Add records under the stored cells; records outside the bounds go to edge cells."""
+        if batch in self.compacted:
+            raise ValueError(f"batch {batch!r} is part of a compacted one and cannot be replaced")
         picked = drop_unusable(df.select(*self.schema.fieldNames()), list(self.at.columns))
-        placed = self.layout.assign(picked, self.at)
-        self._directory_of(placed).write.mode("overwrite").parquet(f"{self.path}/directory/batch={batch}")
+        self._add(self.layout.assign(picked, self.at), batch)
+
+    def _add(self, placed: DataFrame, batch: str) -> None:
+        part = uuid.uuid4().hex
         order = [self.at.columns[0]]
-        colocated(placed, order).write.mode("overwrite").partitionBy("cell").parquet(
-            f"{self.path}/data/batch={batch}"
-        )
+        colocated(placed, order).write.partitionBy("cell").parquet(f"{self._folder}/data/part={part}")
+        directory = self._directory_of(self._stored_rows().filter(F.col("part") == part))
+        directory.withColumn("part", F.lit(part)).write.mode("overwrite").parquet(f"{self._folder}/directory/batch={batch}")
+
+    def compact(self, batch: str = "compacted") -> "StoredLayout":
+        """All batches as one, in a new version: few files per cell again after many small batches.
+
+        Returns the handle of the new version; the old one stays readable for those
+        who hold it.  The batches merged can no longer be replaced one by one.
+        """
+        merged = tuple(r["batch"] for r in self._batches().collect())  # one row per batch
+        fresh = StoredLayout(self.spark, self.path, self.layout, self.at, self.schema, uuid.uuid4().hex, self.compacted + merged)
+        fresh._add(self.data().select(*self.schema.fieldNames(), "cell"), batch)
+        fresh._publish()
+        return fresh
 
     def _directory_of(self, placed: DataFrame) -> DataFrame:
         if isinstance(self.layout, KeyChunks):
@@ -100,16 +140,27 @@ class StoredLayout:
 
     # -- reading --
 
-    def data(self) -> DataFrame:
-        """All records with their cell; ``cell`` is a partition column."""
+    def _stored_rows(self) -> DataFrame:
         full = T.StructType(
-            [*self.schema.fields, T.StructField("batch", T.StringType()), T.StructField("cell", T.IntegerType())]
+            [*self.schema.fields, T.StructField("part", T.StringType()), T.StructField("cell", T.IntegerType())]
         )
-        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+        # an empty batch leaves no file, and its folder may be the only one
+        return self.spark.read.schema(full).option("basePath", f"{self._folder}/data").parquet(f"{self._folder}/data")
+
+    def _published(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder}/directory")
+
+    def _batches(self) -> DataFrame:
+        return self._published().select("batch", "part").distinct()
+
+    def data(self) -> DataFrame:
+        """All records of published batches with their cell; ``cell`` is a partition column."""
+        parts = [r["part"] for r in self._batches().collect()]  # one per batch
+        return self._stored_rows().filter(F.col("part").isin(parts)).drop("part")
 
     def directory(self) -> DataFrame:
         """Directory over all batches."""
-        return d.merge_directories(self.spark.read.parquet(f"{self.path}/directory"))
+        return d.merge_directories(self._published())
 
     def count(self) -> DataFrame:
         """One row ``(n_items)``, from the directory alone."""
@@ -132,7 +183,7 @@ class StoredLayout:
         data = self.data()
         if not cells:
             return data.limit(0)
-        return data.filter(F.col("cell").isin(cells)) if len(cells) <= PRUNED_CELLS else data
+        return data.filter(reduce(or_, (F.col("cell").between(a, b) for a, b in cell_ranges(cells, CELL_RANGES))))
 
     def lookup(self, query: KeyAt | KeyRange | PointAt | Window) -> DataFrame:
         """Values that answer one query, reading candidate cells only."""

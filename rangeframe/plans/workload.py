@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import directory as d
 from ..operators.layouts import KeyChunks, Layout, Position
+from .stored import StoredLayout
 
 
 def per_query(pairs: DataFrame, queries: DataFrame, *, qid: str = "qid") -> DataFrame:
@@ -60,10 +61,8 @@ def family(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def layout_shape(
-    laid_out: DataFrame, layout: Layout, queries: DataFrame, at: Position, *, fanout: int
-) -> DataFrame:
-    """One row: pruning figures of a layout for a query table, and its directory height."""
+def layout_shape(laid_out: DataFrame, layout: Layout, queries: DataFrame, at: Position) -> DataFrame:
+    """One row: pruning figures of a layout for a query table."""
     if isinstance(layout, KeyChunks):
         directory = d.key_directory(laid_out, key=at.columns[0], n_cells=layout.n_cells)
     else:
@@ -77,9 +76,7 @@ def layout_shape(
         routed = d.route_points(queries, directory)
     else:
         routed = d.route_rects(queries, directory)
-    height = d.height_estimate(directory, fanout, count_empty=isinstance(layout, KeyChunks))
-    figures = d.pruning(directory, routed, queries)
-    return figures.select("*", height.select("height").scalar().alias("directory_height"))
+    return d.pruning(directory, routed, queries)
 
 
 def compare(settings: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
@@ -107,14 +104,19 @@ def seconds(df: DataFrame) -> float:
     return time.perf_counter() - start
 
 
-def timed(row: DataFrame, build: Callable[[], DataFrame], batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def timed(
+    build: Callable[[], StoredLayout], queries: DataFrame, *, algorithm: str, workload: str
+) -> DataFrame:
     """A summary row with ``build_seconds``, ``query_total_seconds``, ``query_avg_seconds``.
 
-    ``build`` gives the laid-out data, ``batch`` the answer of the whole query table.
+    What ``build`` stores is what the batch of ``queries`` is then answered from.
     """
-    laid_out = build()
-    build_seconds = seconds(laid_out)
-    query_seconds = seconds(batch(laid_out))
+    start = time.perf_counter()
+    stored = build()
+    build_seconds = time.perf_counter() - start
+    pairs = stored.match(queries)
+    query_seconds = seconds(pairs)
+    row = summary(stored.data(), queries, pairs, algorithm=algorithm, workload=workload)
     per = F.when(F.col("num_queries") > 0, F.lit(query_seconds) / F.col("num_queries")).otherwise(F.lit(0.0))
     return row.select(
         "*",

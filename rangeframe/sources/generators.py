@@ -40,14 +40,14 @@ def key_values(
     if allow_duplicates:
         return ids.select(mixed_int(value, key_min, key_max, seed, 1).alias("key"), value.alias("value"))
     span = key_max - key_min + 1
-    if span > MODULUS:
-        raise ValueError("unique keys need a key range of at most 2**31 - 1 values")
     first, last = ids.agg(F.min(value), F.max(value)).first()
     if first is not None and last - first + 1 > span:
         raise ValueError("key range too small for unique keys")
-    step = permutation_step(span)
-    place = F.pmod(value, F.lit(span).cast("bigint")) * F.lit(step).cast("bigint") + F.lit(seed * 7919 % span)
-    key = F.pmod(place, F.lit(span).cast("bigint")) + F.lit(key_min)
+    # a product of two 64-bit numbers needs 38 digits; small ranges stay in BIGINT
+    kind = "bigint" if span <= MODULUS else "decimal(19,0)"
+    size, step = F.lit(span).cast(kind), F.lit(permutation_step(span)).cast(kind)
+    place = F.pmod(value.cast(kind), size) * step + F.lit(seed * 7919 % span).cast(kind)
+    key = F.pmod(place, F.lit(span).cast(kind)).cast("bigint") + F.lit(key_min).cast("bigint")
     return ids.select(key.cast("bigint").alias("key"), value.alias("value"))
 
 

@@ -113,33 +113,6 @@ def test_plan_time_shapes(spark, n):
     assert 4**depth >= n and (depth == 0 or 4 ** (depth - 1) < n)
 
 
-def test_shape_columns_equal_plan_time(spark):
-    numbers = [0, 1, 2, 3, 4, 5, 8, 9, 15, 16, 17, 63, 64, 65, 1000, 2_000_000]
-    df = spark.createDataFrame([(n,) for n in numbers], "n bigint")
-    n = F.col("n")
-    rows, cols = c.grid_dimension_columns(n)
-    got = df.select(
-        "n", rows, cols, c.quad_depth_column(n), c.median_split_height_column(n, 16), c.directory_height_column(n, 4)
-    ).collect()
-    for row in got:
-        k = row["n"]
-        grid = c.grid_dimensions(k) if k else (1, 1)
-        want = (*grid, c.quad_depth(k), c.median_split_height(k, 16), c.directory_height(k, 4))
-        assert tuple(row)[1:] == want, k
-
-
-def test_published_heights():
-    assert [c.median_split_height(2_000_000, cap) for cap in (16, 32, 64)] == [18, 17, 16]
-    assert [c.directory_height(8, fanout) for fanout in (16, 16, 2, 4)] == [1, 1, 3, 2]
-
-
-def test_capacity_guards(spark):
-    with pytest.raises(ValueError):
-        c.median_split_height(5, 0)
-    with pytest.raises(ValueError):
-        c.directory_height(5, 1)
-
-
 @pytest.mark.parametrize("n", [4, 5, 8])
 def test_grid_cells_stay_in_range(spark, n):
     rows, cols = c.grid_dimensions(n)

@@ -93,15 +93,17 @@ def test_summaries(spark, workload):
     assert (row["num_queries"], row["total_results"], row["avg_results"]) == (0, 0, 0.0)
 
 
-def test_timed_and_compared(spark, workload):
+def test_timed_and_compared(spark, workload, tmp_path):
     points, queries, pairs = workload
     base = w.summary(points, queries, pairs, algorithm="Grid", workload="range")
-    row = w.timed(base, lambda: points, lambda laid: j.match_points_in_rects(laid, queries)).first()
+    build = lambda: StoredLayout.create(points, str(tmp_path), "grid", at=POINT, n_cells=4)
+    row = w.timed(build, queries, algorithm="Grid", workload="range").first()
+    assert row["total_results"] == base.first()["total_results"]
     assert row["build_seconds"] > 0 and row["query_avg_seconds"] == row["query_total_seconds"] / 2
     table = w.compare({str(n): lambda: base for n in (16, 32, 64)})
     assert table.count() == 3 and table.select("total_results").distinct().count() == 1
     grid = fit_layout(points, "grid", at=POINT, n_cells=4)
-    shape = w.layout_shape(grid.assign(points, POINT), grid, queries, POINT, fanout=4).first()
+    shape = w.layout_shape(grid.assign(points, POINT), grid, queries, POINT).first()
     assert (shape["n_cells"], shape["n_rows"], shape["largest_cell"], shape["avg_cells"]) == (2, 3, 2, 0.5)
     # pairs that occur twice on one side only are a difference
     assert tuple(w.answers_differ(pairs.unionByName(pairs), pairs).first()) == (2, 0)
