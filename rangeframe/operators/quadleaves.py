@@ -44,10 +44,10 @@ def _prefix(level: Column | int, max_depth: int) -> Column:
     return F.call_function("shiftright", F.col("path"), shift.cast("int"))
 
 
-def _leaves_between(codes: DataFrame, top: int, bottom: int, capacity: int, max_depth: int) -> DataFrame:
+def _leaves_between(folded: DataFrame, top: int, bottom: int, capacity: int, max_depth: int) -> DataFrame:
     """Leaves on levels ``top + 1 .. bottom``, and on level 0 where ``top`` is 0.
 
-    Two shuffles whatever the number of levels: boxes of all levels are counted
+    ``folded`` has one row per occupied box of level ``bottom``.  Two shuffles whatever the number of levels: boxes of all levels are counted
     together, then grouped under their parents, at most four to each.
     """
 
@@ -58,8 +58,8 @@ def _leaves_between(codes: DataFrame, top: int, bottom: int, capacity: int, max_
     first = top if top == 0 and bottom == 0 else top + 1
     levels = F.explode(F.sequence(F.lit(first), F.lit(bottom))).alias("level")
     boxes = (
-        codes.select("path", "stop", "n_items", levels)
-        .select("level", _prefix(F.col("level"), max_depth).alias("path"), "stop", "n_items")
+        folded.select("path", "stop", "n_items", levels)
+        .select("level", _prefix(F.col("level"), bottom).alias("path"), "stop", "n_items")
         .groupBy("level", "path")
         .agg(F.sum("n_items").alias("n_items"), F.min("stop").alias("stop"))
     )
@@ -111,15 +111,17 @@ def quad_leaves(
     top = 0
     while True:
         bottom = min(max_depth, top + LEVELS_PER_PASS)
-        leaves.append(_leaves_between(codes, top, bottom, capacity, max_depth))
+        above = _prefix(bottom, max_depth)
+        if bottom < max_depth:  # few boxes of this pass stand for many paths: fold before levels are spread out
+            folded = codes.groupBy(above.alias("path")).agg(F.sum("n_items").alias("n_items"), F.min("stop").alias("stop"))
+            folded = cut_lineage(folded)
+        else:
+            folded = codes
+        leaves.append(_leaves_between(folded, top, bottom, capacity, max_depth))
         if bottom == max_depth:
             break
-        above = _prefix(bottom, max_depth)
-        lowest = codes.groupBy(above.alias("full_path")).agg(
-            F.sum("n_items").alias("n_items"), F.min("stop").alias("stop")
-        )
         full = cut_lineage(
-            lowest.filter((F.col("n_items") > capacity) & (F.col("stop") > bottom)).select("full_path")
+            folded.filter((F.col("n_items") > capacity) & (F.col("stop") > bottom)).select(F.col("path").alias("full_path"))
         )
         if full.isEmpty():
             break
