@@ -31,6 +31,7 @@ from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
 
 PAIR_LIMIT = 64
+CROWD = 8
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,9 @@ EXACT = Spec()
 
 #: Jaccard similarity of 0.8 or more of the sets of five-word shingles: that is some 15 % of the bits
 #: of their fingerprint, here 512 bits.  Too many for long segments, so what is indexed is the fingerprint of
-#: the set of words, in which such texts differ by some 7 % of the bits: six segments of 24 bits
-#: then find nearly every pair.
-SIMILAR = Spec(words=5, lanes=8, distinct=True, most_bits=80, index_words=1, segment_bits=24, segments=6)
+#: the set of words, in which such texts differ by some 7 % of the bits: eight segments of 28 bits
+#: then find nearly every pair.  Unrelated texts share a variant by chance once in 2**27 pairs and variants.
+SIMILAR = Spec(words=5, lanes=8, distinct=True, most_bits=80, index_words=1, segment_bits=28, segments=8)
 
 
 def majority_bits(features: np.ndarray, lanes: int) -> np.ndarray:
@@ -132,10 +133,14 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def _pairs(members: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Verified links ``(a, b)`` among nodes that share a variant."""
-    left = members.select("key", F.col("node").alias("a"))
-    right = members.select("key", F.col("node").alias("b"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")))
+    """Verified links ``(a, b)`` among nodes that share a variant and are not linked yet.
+
+    ``members`` has node, key and label; nodes of one label are in one group already.
+    """
+    left = members.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"))
+    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
+    fresh = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
+    met = left.join(right, (left["key"] == right["key"]) & fresh)
     if spec.lanes == 1 and not spec.index_words:
         return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.most_bits).select("a", "b").distinct()
     return _verified(met.select("a", "b").distinct(), nodes, spec)
@@ -177,17 +182,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     return checked.filter(_differing(F.col("a_lanes"), F.col("b_lanes")) <= spec.most_bits).select("a", "b")
 
 
-def _crowd_links(crowd: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Links of crowded variants of other forms, without expanding them into pairs.
+def _crowd_links(members: DataFrame, nodes: DataFrame, spec: Spec, crowd_from: int) -> DataFrame:
+    """Links of variants shared by more than ``crowd_from`` nodes, a few for each node.
 
-    Each member is compared with its next four in an order of each variant's own; as a
-    member of a crowd shares many variants, it meets ever other partners.  The
-    member of a variant with most links, which is near the crowd's original, is
-    then compared with all the others.
+    Four variants of each segment serve.  Each member is compared with its next one in an
+    order of each variant's own; the member with most links, which is near the
+    crowd's original, is then compared with all the others.
     """
+    place = F.shiftright("key", spec.segment_bits) % spec.segment_bits
+    crowd = members.filter((F.col("n") > crowd_from) & (place % (spec.segment_bits // 4) == 0)).select("node", "key")
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
-    steps = [crowd.select(F.col("node").alias("x"), F.lead("node", n).over(order).alias("y")) for n in (1, 2, 3, 4)]
-    met = steps[0].union(steps[1]).union(steps[2]).union(steps[3]).filter("y IS NOT NULL")
+    met = crowd.select(F.col("node").alias("x"), F.lead("node").over(order).alias("y")).filter("y IS NOT NULL")
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = written(_verified(pairs, nodes, spec), "simhash-links")
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
@@ -211,10 +216,16 @@ def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_
     shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
     members = _variants(nodes, spec).select("node", "key", shared.alias("n")).filter("n > 1")
     members = written(members, "simhash-members")
-    links = _pairs(members.filter(F.col("n") <= pair_limit), nodes, spec)
-    crowd = members.filter(F.col("n") > pair_limit)
-    two_bits = spec.complete and spec.lanes == 1 and spec.segments == 2 and spec.most_bits == 2
-    links = links.union(_stars(crowd) if two_bits else _crowd_links(crowd, nodes, spec))
+    few = members.filter(F.col("n") <= pair_limit)
+    if spec.complete and spec.lanes == 1 and spec.segments == 2 and spec.most_bits == 2:
+        links = _pairs(few.withColumn("label", F.col("node")), nodes, spec)
+        links = links.union(_stars(members.filter(F.col("n") > pair_limit)))
+    else:
+        # what a few links per node join already need not be compared pair by pair
+        links = written(_crowd_links(members, nodes, spec, min(CROWD, pair_limit)), "simhash-links")
+        joined = connected_components(links).withColumnRenamed("node", "m")
+        labelled = few.join(joined, F.col("node") == F.col("m"), "left").select("node", "key", F.coalesce("root", "node").alias("label"))
+        links = links.union(_pairs(labelled, nodes, spec))
     roots = connected_components(links)
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     labelled = written(joined.select("node", "least", F.coalesce("root", "node").alias("label")), "simhash-labels")
