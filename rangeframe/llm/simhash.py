@@ -29,38 +29,25 @@ from pyspark.sql import functions as F
 from .common import map_frames, quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
+from .similar import first_of_groups  # noqa: F401
 
 PAIR_LIMIT = 64
-CROWD = 8
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What is fingerprinted and when two fingerprints link."""
+    """What is fingerprinted and when two fingerprints link; 64 bits in two segments, so no linked pair escapes the index."""
 
-    words: int = 3  # words per shingle of the verified fingerprint
-    lanes: int = 1  # 64-bit words of the verified fingerprint
-    distinct: bool = False  # whether a repeated shingle counts once
+    words: int = 3  # words per shingle
+    lanes: int = 1  # 64-bit words of the fingerprint
     most_bits: int = 2  # differing bits at which fingerprints still link
-    index_words: int = 0  # words per shingle of the indexed fingerprint; 0: the verified one is indexed
     segment_bits: int = 32
     segments: int = 2
 
-    @property
-    def complete(self) -> bool:
-        """Whether no linked pair can escape the index."""
-        return not self.index_words and self.segments * self.segment_bits == 64 * self.lanes and self.most_bits < 2 * self.segments
-
 
 #: Three-word shingles, 64 bits, two segments: links at two or fewer bits, none missed.
 EXACT = Spec()
 
-#: Jaccard similarity of 0.8 or more of the sets of five-word shingles: that is some 15 % of the bits
-#: of their fingerprint, here 512 bits.  Too many for long segments, so what is indexed is the fingerprint of
-#: the set of words, in which such texts differ by some 7 % of the bits: eight segments of 28 bits
-#: then find nearly every pair.  Unrelated texts share a variant by chance once in 2**27 pairs and variants.
-SIMILAR = Spec(words=5, lanes=8, distinct=True, most_bits=80, index_words=1, segment_bits=28, segments=8)
-
 
 def majority_bits(features: np.ndarray, lanes: int) -> np.ndarray:
     """Bits set in over half of the features, ``64 * lanes`` of them, low bit first; none for no features."""
@@ -83,16 +70,9 @@ def _packed(bits: np.ndarray, width: int) -> list[int]:
 
 
 def fingerprint(text: str | None, spec: Spec = EXACT) -> tuple[list[int], list[int]]:
-    """The verified fingerprint in 64-bit words, and the indexed segments."""
-    tokens = words(text)
-
-    def bits(size: int, lanes: int) -> np.ndarray:
-        features = hashes(shingles(tokens, size))
-        return majority_bits(np.unique(features) if spec.distinct else features, lanes)
-
-    verified = bits(spec.words, spec.lanes)
-    indexed = bits(spec.index_words, -(-spec.segments * spec.segment_bits // 64)) if spec.index_words else verified
-    return _packed(verified, 64), _packed(indexed[: spec.segments * spec.segment_bits], spec.segment_bits)
+    """The fingerprint in 64-bit words, and its segments."""
+    bits = majority_bits(hashes(shingles(words(text), spec.words)), spec.lanes)
+    return _packed(bits, 64), _packed(bits, spec.segment_bits)
 
 
 def fingerprints(docs: DataFrame, spec: Spec = EXACT, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,9 +91,7 @@ def fingerprints(docs: DataFrame, spec: Spec = EXACT, *, doc_id: str = "doc_id",
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = map_frames(rows, batches, f"doc_id {kind}, mark bigint, lanes array<bigint>, parts array<bigint>")
-    # one lane is its own name; more lanes and the parts are named by a digest
-    node = F.element_at("lanes", 1) if spec.lanes == 1 and not spec.index_words else F.xxhash64("lanes", "parts")
-    return written(made.select("doc_id", "mark", "lanes", "parts", node.alias("node")), "simhash")
+    return written(made.select("doc_id", "mark", "lanes", "parts", F.element_at("lanes", 1).alias("node")), "simhash")
 
 
 def _variants(nodes: DataFrame, spec: Spec) -> DataFrame:
@@ -126,24 +104,12 @@ def _variants(nodes: DataFrame, spec: Spec) -> DataFrame:
     return spread.select("node", F.call_function("shiftleft", F.col("place").cast("bigint"), F.lit(spec.segment_bits)).bitwiseOR(kept).alias("key"))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints differ."""
-    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
-    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
-
-
-def _pairs(members: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Verified links ``(a, b)`` among nodes that share a variant and are not linked yet.
-
-    ``members`` has node, key and label; nodes of one label are in one group already.
-    """
-    left = members.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"))
-    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
-    fresh = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
-    met = left.join(right, (left["key"] == right["key"]) & fresh)
-    if spec.lanes == 1 and not spec.index_words:
-        return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.most_bits).select("a", "b").distinct()
-    return _verified(met.select("a", "b").distinct(), nodes, spec)
+def _pairs(members: DataFrame, spec: Spec) -> DataFrame:
+    """Verified links ``(a, b)`` among nodes that share a variant."""
+    left = members.select("key", F.col("node").alias("a"))
+    right = members.select("key", F.col("node").alias("b"))
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")))
+    return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.most_bits).select("a", "b").distinct()
 
 
 def _without(value: Column, *places: Column) -> Column:
@@ -174,35 +140,6 @@ def _stars(crowd: DataFrame) -> DataFrame:
     return keyed.join(smallest, ["p", "q", "rest"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """The candidate pairs ``(a, b)`` whose whole fingerprints are near."""
-    first = nodes.select(F.col("node").alias("a"), F.col("lanes").alias("a_lanes"))
-    second = nodes.select(F.col("node").alias("b"), F.col("lanes").alias("b_lanes"))
-    checked = pairs.join(first, "a").join(second, "b")
-    return checked.filter(_differing(F.col("a_lanes"), F.col("b_lanes")) <= spec.most_bits).select("a", "b")
-
-
-def _crowd_links(members: DataFrame, nodes: DataFrame, spec: Spec, crowd_from: int) -> DataFrame:
-    """Links of variants shared by more than ``crowd_from`` nodes, a few for each node.
-
-    Four variants of each segment serve.  Each member is compared with its next one in an
-    order of each variant's own; the member with most links, which is near the
-    crowd's original, is then compared with all the others.
-    """
-    place = F.shiftright("key", spec.segment_bits) % spec.segment_bits
-    crowd = members.filter((F.col("n") > crowd_from) & (place % (spec.segment_bits // 4) == 0)).select("node", "key")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
-    met = crowd.select(F.col("node").alias("x"), F.lead("node").over(order).alias("y")).filter("y IS NOT NULL")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = written(_verified(pairs, nodes, spec), "simhash-links")
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    hubs = crowd.join(degrees, "node").groupBy(F.col("key").alias("k")).agg(F.max(F.struct("links", "node")).alias("hub"))
-    around = crowd.join(hubs, F.col("key") == F.col("k")).select("node", F.col("hub.node").alias("hub")).filter("node <> hub")
-    spokes = around.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return links.union(_verified(spokes, nodes, spec))
-
-
 def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """``(node, root)``: each class of equal fingerprints with the first row linked to it.
 
@@ -216,16 +153,8 @@ def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_
     shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
     members = _variants(nodes, spec).select("node", "key", shared.alias("n")).filter("n > 1")
     members = written(members, "simhash-members")
-    few = members.filter(F.col("n") <= pair_limit)
-    if spec.complete and spec.lanes == 1 and spec.segments == 2 and spec.most_bits == 2:
-        links = _pairs(few.withColumn("label", F.col("node")), nodes, spec)
-        links = links.union(_stars(members.filter(F.col("n") > pair_limit)))
-    else:
-        # what a few links per node join already need not be compared pair by pair
-        links = written(_crowd_links(members, nodes, spec, min(CROWD, pair_limit)), "simhash-links")
-        joined = connected_components(links).withColumnRenamed("node", "m")
-        labelled = few.join(joined, F.col("node") == F.col("m"), "left").select("node", "key", F.coalesce("root", "node").alias("label"))
-        links = links.union(_pairs(labelled, nodes, spec))
+    links = _pairs(members.filter(F.col("n") <= pair_limit), spec)
+    links = links.union(_stars(members.filter(F.col("n") > pair_limit)))
     roots = connected_components(links)
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     labelled = written(joined.select("node", "least", F.coalesce("root", "node").alias("label")), "simhash-labels")
@@ -246,25 +175,3 @@ def simhash_groups(
     roots = node_roots(marked, spec, pair_limit=pair_limit)
     named = roots.select(F.col("node").alias("m"), F.col("root.doc_id").alias("component_id"))
     return marked.join(named, F.col("node") == F.col("m"), "left").select("doc_id", "lanes", "component_id")
-
-
-def first_of_groups(
-    docs: DataFrame, spec: Spec = SIMILAR, *, doc_id: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """One row of ``docs`` for each group, with all its columns: the one of the smallest id.
-
-    Rows of one id are told apart by their text; of rows alike in both, one stays.
-    Null ids come last.  Null and blank texts are one group.
-    """
-    marked = fingerprints(docs, spec, doc_id=doc_id, text=text)
-    roots = node_roots(marked, spec, pair_limit=pair_limit)
-    named = roots.select(F.col("node").alias("m"), "root")
-    same = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("mark") == F.col("root.mark"))
-    firsts = marked.join(named, F.col("node") == F.col("m")).filter(same).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    firsts = written(firsts.select(F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark"), "n"), "simhash-firsts")
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(doc_id).alias("row_id"), text_digest(quoted(text)).alias("row_mark"))
-    met = rows.join(firsts, F.col("row_id").eqNullSafe(F.col("f_id")) & (F.col("row_mark") == F.col("f_mark")))
-    single = met.filter("n = 1").select("row.*")
-    if firsts.filter("n > 1").isEmpty():
-        return single
-    return single.union(met.filter("n > 1").dropDuplicates(["row_id", "row_mark"]).select("row.*"))
