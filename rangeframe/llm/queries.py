@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, merkle, mixing, quality, sharding, simhash, url_filter
+from . import (
+    decontaminate,
+    fill_middle,
+    html_extract,
+    license_scan,
+    line_dedup,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    resample,
+    sharding,
+    simhash,
+    url_filter,
+)
 from .common import table
 
 URL_RULES = (
@@ -62,6 +76,22 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents")).drop("row")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +103,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_packing": op11_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_resampling": op13_resampling,
 }
 
 # -- the same in SQL ------------------------------------------------------------
@@ -237,10 +270,33 @@ FROM (SELECT doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '
 JOIN slots USING (slot)"""
 
 
+_MIDDLE_SQL = rf"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_BLANKS}*[^\x20\x09-\x0D]+|{_BLANKS}+') AS units,
+    sha256('42:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
+drawn AS (SELECT *, len(units) AS n, cast('0x' || substr(h, 1, 8) AS bigint) % (len(units) + 1) AS x,
+    cast('0x' || substr(h, 9, 8) AS bigint) % (len(units) + 1) AS y,
+    cast('0x' || substr(h, 17, 8) AS bigint) % 100 AS shown, cast('0x' || substr(h, 25, 8) AS bigint) % 100 AS turned FROM cut),
+parted AS (SELECT *, coalesce(array_to_string(units[1:least(x, y)], ''), '') AS prefix,
+    coalesce(array_to_string(units[least(x, y) + 1:greatest(x, y)], ''), '') AS middle,
+    coalesce(array_to_string(units[greatest(x, y) + 1:], ''), '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR shown >= 50 THEN 'plain'
+         WHEN turned < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+joined AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END AS output FROM parted),
+found AS (SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m FROM joined)
+SELECT doc_id, cast(n AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'psm' THEN substr(output, p + 3, s - p - 3) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+                        WHEN 'spm' THEN substr(output, p + 3, m - p - 3) || substr(output, m + 3) || substr(output, s + 3, p - s - 3)
+                        ELSE output END) AS restored_sha256
+FROM found"""
+
+
 ORACLES = {
     "op2_decontamination": _LEAK_SQL,
     "op4_url_filter": _url_sql(),
     "op7_line_dedup": _LINES_SQL,
     "op9_mixing": _mix_sql(),
     "op10_sharding": _shard_sql(),
+    "op12_fill_in_middle": _MIDDLE_SQL,
 }
