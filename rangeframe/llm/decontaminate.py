@@ -17,9 +17,10 @@ chance below one in a million.
 Candidates are verified by exact containment: the item's distinct shingles that
 the document has, by their words.
 
-What is sent to the tasks is two bit filters of fixed size, over the items' minima
-and over their shingles, however large the benchmark; what passes them meets the
-items in equi-joins.  Texts are read once and never shuffled.
+What is sent to the tasks is two bit filters, over the items' minima and over their shingles, sized by the
+number of these up to a fixed bound; what passes them meets the items in equi-joins.  Texts are read once and never shuffled.
+
+Items are told apart by their set of shingles, not by their id, which may repeat or be null.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from .shingles import hashes, remixed, shingles, words
 WORDS = 5
 LEAST_CONTAINMENT = 0.8
 FUNCTIONS = 48
-FILTER_BITS = 23  # two to this power
+BITS_PER_VALUE = 16  # of a filter; its length is the next power of two
+MOST_FILTER_BITS = 26  # two to this power, 8 MB; with more values more pass, and the joins sort them out
 LEAST_WINDOW = 3  # windows have at least two to this power shingles
 _PROBES = 4
 
@@ -70,10 +72,10 @@ def _passing(values: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
 
 
 def prepared_items(items: DataFrame, *, item_id: str = "item_id", text: str = "text", size: int = WORDS, functions: int = FUNCTIONS):
-    """Items by their set of shingles: ``(item_id, n_copies, n_shingles, power, shingles, minima)``.
+    """Items by their set of shingles: ``(content, item_id, n_copies, n_shingles, power, shingles, minima)``.
 
-    Items with the same set are one class, named by the smallest id.  Items
-    without a word hold nothing that could leak and are left out.
+    Items with the same set are one class, ``content``; it shows the smallest id of its items, null if none has
+    one.  Items without a word hold nothing that could leak and are left out.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +98,11 @@ def prepared_items(items: DataFrame, *, item_id: str = "item_id", text: str = "t
         F.count(F.lit(1)).alias("n_copies"),
         *(F.first(c).alias(c) for c in ("shingles", "marks", "minima", "power")),
     )
-    return written(same.select("*", F.size("shingles").cast("bigint").alias("n_shingles")).drop("content"), "leak-items")
+    return written(same.select("*", F.size("shingles").cast("bigint").alias("n_shingles")), "leak-items")
+
+
+def _filter_bits(n_values: int) -> int:
+    return min(MOST_FILTER_BITS, max(10, (BITS_PER_VALUE * n_values).bit_length()))
 
 
 def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
@@ -107,10 +113,9 @@ def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
             place = np.concatenate(_positions(frame["value"].to_numpy(np.int64).view(np.uint64), bits))
             yield pd.DataFrame({"slot": place >> 5, "mask": np.left_shift(1, place & 31)})
 
-    rows = map_frames(values, batches, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect()
+    rows = map_frames(values, batches, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     held = np.zeros(1 << (bits - 5), dtype="<u4")
-    for row in rows:
-        held[row["slot"]] = row["mask"]
+    held[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
     return held.view(np.uint8)
 
 
@@ -153,19 +158,21 @@ def find_leaks(
     size: int = WORDS,
     least: float = LEAST_CONTAINMENT,
     functions: int = FUNCTIONS,
-    filter_bits: int = FILTER_BITS,
+    filter_bits: int | None = None,
 ) -> DataFrame:
-    """``(doc_id, mark, item_id, n_copies, n_shared, n_shingles, containment)`` per document and leaked item.
+    """``(doc_id, mark, item_id, n_copies, n_shared, n_shingles, containment)`` per document and leaked class of items.
 
     A pair is returned when at least ``least`` of the item's distinct shingles are
     in the document.  ``mark`` tells documents of one id apart; rows alike in id and
     text give one row.  ``item_id`` stands for its ``n_copies`` items of the same
-    shingles.  A text of fewer than ``size`` words has one shingle, all its words; null and
+    shingles; items of one id, or without one, that differ in shingles are judged and shown one by one.  A text of fewer than ``size`` words has one shingle, all its words; null and
     blank texts have none and match nothing.  Empty tables give an empty result.
     """
     prepared = prepared_items(items, item_id=item_id, text=item_text, size=size, functions=functions)
     powers = sorted(r["power"] for r in prepared.select("power").distinct().collect())  # at most 32
-    minima = prepared.select("item_id", F.explode("minima").alias("value"))
+    minima = prepared.select("content", F.explode("minima").alias("value"))
+    if filter_bits is None:
+        filter_bits = _filter_bits(prepared.agg(F.sum(F.greatest("n_shingles", F.size("minima"))).alias("n")).first()["n"] or 0)
     context = docs.sparkSession.sparkContext
     of_minima = context.broadcast(_bit_filter(minima.select("value"), filter_bits))
     of_shingles = context.broadcast(_bit_filter(prepared.select(F.explode("marks").alias("value")), filter_bits))
@@ -202,19 +209,19 @@ def find_leaks(
 
     candidates = (
         found.select("doc_id", "mark", F.explode("hits").alias("value")).join(written(minima, "leak-minima"), "value")
-        .select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), F.col("item_id").alias("c_item")).distinct()
+        .select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), F.col("content").alias("c_content")).distinct()
     )
-    by_shingle = written(prepared.select("item_id", F.explode("shingles").alias("shingle")), "leak-shingles")
+    by_shingle = written(prepared.select("content", F.explode("shingles").alias("shingle")), "leak-shingles")
     shared = (
         found.select("doc_id", "mark", F.explode("shared").alias("shingle"))
         .join(by_shingle, "shingle")
-        .groupBy("doc_id", "mark", "item_id")
+        .groupBy("doc_id", "mark", "content")
         .agg(F.count(F.lit(1)).alias("n_shared"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")) & F.col("item_id").eqNullSafe(F.col("c_item"))
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")) & (F.col("content") == F.col("c_content"))
     verified = shared.join(candidates, same, "left_semi")
-    sizes = written(prepared.select(F.col("item_id").alias("i"), "n_copies", "n_shingles"), "leak-sizes")
-    counted = verified.join(sizes, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
+    sizes = written(prepared.select("content", "item_id", "n_copies", "n_shingles"), "leak-sizes")
+    counted = verified.join(sizes, "content")
     share = F.col("n_shared").cast("double") / F.col("n_shingles").cast("double")
     return counted.select("doc_id", "mark", "item_id", "n_copies", "n_shared", "n_shingles", share.alias("containment")).filter(
         F.col("containment") >= least

@@ -7,6 +7,10 @@ same on page after page loses weight.  Pass 2 re-extracts every page from the
 container at its host's winning path, so that a page with little text, or with
 one long aside, is cut like the other pages of its host.  A page without that
 container, or without text in it, falls back on its own best one.
+
+Menus, footers and hidden parts are left out by their tags, roles and visibility.  A name (a class or id) that sounds
+like page furniture only weighs against its container: one that holds nearly all running text of the page, or
+its article, is a wrapper and stays.  Markup is read in one pass whose time is linear in the page, however broken it is.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from .common import map_frames, quoted, written
 from .url_filter import host_of
 
 # fixed values of HTML: how elements nest and break lines
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+SKIPPED = frozenset("template svg math object select".split())  # they nest, may close themselves, and have no running text
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot "
@@ -40,7 +44,7 @@ SCOPES = frozenset("ul ol dl table body html article main section div aside td".
 MOST_DEPTH = 256
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-ASIDE_TAGS = frozenset("nav aside footer form button menu dialog".split())
+ASIDE_TAGS = frozenset("nav aside footer button menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
@@ -48,24 +52,27 @@ ASIDE_NAMES = frozenset(
     "comment comments discussion disqus replies reply respond share sharing social related recommended newsletter subscribe "
     "signup login search pagination pager toolbar copyright skip".split()
 )
+COMMENT_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
+WRAPS = 0.8  # share of a page's running text from which a container is a wrapper, whatever its name
 BODY_NAMES = frozenset("content article post entry story main body text".split())
 NEGATIONS = frozenset("no not without with has have".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_TAG_FALLBACK = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Node:
     """An element with what extraction asks of it."""
 
-    __slots__ = ("tag", "path", "aside", "parent", "depth", "inside", "score", "blocks")
+    __slots__ = ("tag", "path", "hard", "soft", "comments", "aside", "parent", "depth", "inside", "score", "blocks", "held", "article")
 
-    def __init__(self, tag: str, path: str, aside: bool, parent: Node | None):
-        self.tag, self.path, self.aside, self.parent = tag, path, aside, parent
+    def __init__(self, tag: str, path: str, parent: Node | None):
+        self.tag, self.path, self.parent = tag, path, parent
+        self.hard = self.soft = self.comments = self.aside = self.article = False
         self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)  # of an article
-        self.score, self.blocks = 0.0, []  # blocks: numbers of the text blocks below
+        self.score, self.held, self.blocks = 0.0, 0.0, []  # held: running text below; blocks: numbers of the text blocks below
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -76,18 +83,23 @@ def _names(attributes: dict[str, str]) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
 
 
-def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element is page furniture by its tag, role, name or visibility."""
+def _is_furniture(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is page furniture by its tag, role or visibility."""
     if tag in ASIDE_TAGS:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    if attributes.get("role", "").lower() in ASIDE_ROLES:
-        return True
+    return attributes.get("role", "").lower() in ASIDE_ROLES
+
+
+def _aside_names(tag: str, attributes: dict[str, str]) -> list[str]:
+    """The words of an element's names that sound like page furniture."""
+    if tag in ("html", "body", "article", "main"):
+        return []
     names = _names(attributes)
-    return any(n in ASIDE_NAMES and (i == 0 or names[i - 1] not in NEGATIONS) for i, n in enumerate(names))
+    return [n for i, n in enumerate(names) if n in ASIDE_NAMES and (i == 0 or names[i - 1] not in NEGATIONS)]
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -104,20 +116,26 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[Node] = []
         self.texts: list[str] = []
+        self._blocks: list[tuple[Node, float]] = []  # where each text stands, and how much of it is no link
         self._parts: list[str] = []
-        self._links = 0
         self._linked = 0
         self._in_link = False
         self._root = self._open = self._push("html", {}, None)
         self._read(source)
         self._break()
+        self._settle()
 
     def _push(self, tag: str, attributes: dict[str, str], parent: Node | None) -> Node:
         if parent and parent.depth >= MOST_DEPTH:
             return parent  # as browsers do: what is nested deeper stands beside
-        aside = bool(parent and parent.aside) or _is_aside(tag, attributes) or (tag == "header" and not (parent and parent.inside))
-        header = tag == "header" or (parent is not None and parent.tag == "header" and tag not in HEADINGS)
-        node = Node("header" if header else tag, f"{parent.path}>{_step(tag, attributes)}" if parent else tag, aside, parent)
+        inside = bool(parent and parent.inside)
+        named = _aside_names(tag, attributes)
+        headed = tag == "header" or (inside and named[:1] == ["header"])
+        header = headed or (parent is not None and parent.tag == "header" and tag not in HEADINGS)
+        node = Node("header" if header else tag, f"{parent.path}>{_step(tag, attributes)}" if parent else tag, parent)
+        node.hard = bool(parent and parent.hard) or _is_furniture(tag, attributes) or (tag == "header" and not inside)
+        node.soft = tag == "form" or (bool(named) and not headed)
+        node.comments = not COMMENT_NAMES.isdisjoint(named)
         self.nodes.append(node)
         return node
 
@@ -125,22 +143,35 @@ class Page:
         """End the block in progress."""
         text = " ".join("".join(self._parts).split())
         linked, self._parts, self._linked = self._linked, [], 0
-        node = self._open
-        if not text or node.aside or node.tag == "header":
-            return
-        weight = max(0.0, len(text) - linked)
-        number = len(self.texts)
-        self.texts.append(text)
-        share = 1.0
-        holder = node.parent if node.tag in ("p", "pre", "li", "blockquote", *HEADINGS) and node.parent else node
-        while node:
-            node.blocks.append(number)
-            node = node.parent
-        for _ in range(3):  # the container itself, the one around it, and that around both
-            if holder is None:
-                break
-            holder.score += share * weight
-            share, holder = share / 2, holder.parent
+        if text and not self._open.hard and self._open.tag != "header":
+            self.texts.append(text)
+            self._blocks.append((self._open, max(0.0, float(len(text) - linked))))
+
+    def _settle(self) -> None:
+        """Decide which containers are asides, now that all text is known, and score the others."""
+        for node, weight in self._blocks:
+            node.held += weight
+        for node in reversed(self.nodes):  # parents come before what they hold
+            if node.parent:
+                node.parent.held += node.held
+                node.parent.article |= node.article or node.tag in ("article", "main")
+        total = self._root.held
+        for node in self.nodes:
+            wraps = (node.article and not node.comments) or (total > 0 and node.held >= WRAPS * total)
+            node.aside = bool(node.parent and node.parent.aside) or node.hard or (node.soft and not wraps)
+        for number, (node, weight) in enumerate(self._blocks):
+            if node.aside:
+                continue
+            share = 1.0
+            holder = node.parent if node.tag in ("p", "pre", "li", "blockquote", *HEADINGS) and node.parent else node
+            while node:
+                node.blocks.append(number)
+                node = node.parent
+            for _ in range(3):  # the container itself, the one around it, and that around both
+                if holder is None:
+                    break
+                holder.score += share * weight
+                share, holder = share / 2, holder.parent
 
     def _text(self, text: str) -> None:
         if text:
@@ -162,26 +193,44 @@ class Page:
             node = node.parent
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, last, quotes = 0, source.rfind(">"), True
+        ends: dict[str, dict[int, int]] = {}
         while True:
-            found = _TOKEN.search(source, at)
-            if not found:
+            start = source.find("<", at)
+            if start < 0 or start > last:  # no tag can end behind the last >
                 break
-            self._text(source[at : found.start()])
-            at = found.end()
-            closing, tag = found[1], (found[2] or "").lower()
-            if not tag:
+            self._text(source[at:start])
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(source)
+                continue
+            if source[start + 1] in "!?":
+                at = source.find(">", start) + 1
+                continue
+            found = _TAG.match(source, start)
+            if not found:
+                self._text("<")
+                at = start + 1
                 continue
-            if closing:
+            close = _QUOTED_END.match(source, found.end()) if quotes else None
+            quotes = close is not None  # an open quote: from here on tags end at the next >
+            at = close.end() if close else source.find(">", found.end()) + 1
+            tag, inner = found[2].lower(), source[found.end() : at - 1]
+            if found[1]:
                 if tag == "a":
                     self._in_link = False
-                elif tag == "p" or tag in BLOCK or tag in ("td", "th"):
+                elif tag in BLOCK or tag in ("td", "th"):
                     self._close(tag)
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 self._parts.append(" ")
+            elif tag in SKIPPED:
+                if tag not in ends:
+                    ends[tag] = _nested_ends(source, tag)
+                at = max(at, ends[tag].get(start, at))
+                self._parts.append(" ")
             elif tag == "a":
                 self._in_link = True
             elif tag in ("br", "td", "th", "wbr", "img", "input", "hr"):
@@ -197,7 +246,7 @@ class Page:
                     self._close("p", SCOPES)
                 for sibling in CLOSED_BY_SIBLING.get(tag, ()):
                     self._close(sibling, SCOPES - {"div"} if sibling == tag else SCOPES)
-                self._open = self._push(tag, _attributes(found[3]), self._open)
+                self._open = self._push(tag, _attributes(inner), self._open)
         self._text(source[at:])
 
     def votes(self) -> dict[str, tuple[float, int]]:
@@ -226,6 +275,18 @@ class Page:
         return "\n".join(self.texts[b] for b in numbers)
 
 
+def _nested_ends(source: str, tag: str) -> dict[int, int]:
+    """Where each element of the name ends, by its start; elements that close themselves or are never closed have no end."""
+    ends, open_ = {}, []
+    for found in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*+>", source, re.I):
+        if found[1]:
+            if open_:
+                ends[open_.pop()] = found.end()
+        elif not found[0].endswith("/>"):
+            open_.append(found.start())
+    return ends
+
+
 def main_text(source: str | None, path: str | None = None) -> str:
     """Text of a page from the container at ``path``, or else from its own best one."""
     if not source:
@@ -263,7 +324,9 @@ def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     """``(page_id, url, text, n_chars, path)`` for every row of ``pages``.
 
     A null or empty page, and one without running text, has the empty text.  A null url is
-    a host of its own (the empty one).  Rows that repeat are extracted alike.
+    a host of its own (the empty one).  Rows that repeat are extracted alike and vote as often as they come; equal
+    votes go to the path that sorts first.  Pages of any length are read whole, in time linear in their length.  Columns other
+    than the three named ones take no part, whatever their names.  An empty table gives an empty result.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
