@@ -45,6 +45,19 @@ def qrects(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").selectExpr(*QUERY_RECT)
 
 
+WIDE_BOX = (
+    "s_suppkey AS qid",
+    "cast((s_suppkey * 7919) % 300000 AS double) AS qxmin",
+    "cast((s_suppkey * 131) % 1500 AS double) AS qymin",
+    "cast((s_suppkey * 7919) % 300000 + 1 + (s_suppkey * 3637) % 190000 AS double) AS qxmax",
+    "cast((s_suppkey * 131) % 1500 + 1 + (s_suppkey * 417) % 900 AS double) AS qymax",
+)
+
+
+def wide_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").selectExpr(*WIDE_BOX)
+
+
 QUERY_RANGE = (
     "c_custkey AS qid",
     "(c_custkey * 7) % 1400 AS low",
@@ -120,6 +133,7 @@ rects AS (SELECT value, x AS xmin, y AS ymin,
                  y + cast(value % 5 + 1 AS double) * cast(3 AS double) AS ymax FROM points),
 kv AS (SELECT o_custkey AS key, o_orderkey AS value FROM orders),
 qrects AS (SELECT {", ".join(QUERY_RECT)} FROM customer),
+wide_boxes AS (SELECT {", ".join(WIDE_BOX)} FROM supplier),
 qranges AS (SELECT {", ".join(QUERY_RANGE)} FROM customer),
 qkeys AS (SELECT c_custkey AS qid, c_custkey AS k FROM customer),
 qpoints AS (SELECT value AS qid, x AS px, y AS py FROM points),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rangeframe.operators import joins
+from rangeframe.operators import counts, joins
 from rangeframe.operators.layouts import KEY, POINT, RECT
 from rangeframe.plans import workload as w
 from rangeframe.plans.runtime import scratch_path
@@ -40,13 +40,26 @@ def wrk_family(spark, sf):
 
 def wrk_summary(spark, sf):
     data, queries = v.points(spark, sf), v.qrects(spark, sf)
-    pairs = joins.match_points_in_rects(data, queries)
-    return w.summary(data, queries, pairs, algorithm="points", workload="rect-range").select(*FIGURES)
+    return w.summary(data, queries, counts.rect_hits(data, queries), algorithm="points", workload="rect-range").select(*FIGURES)
 
 
 def wrk_per_query(spark, sf):
     data, queries = v.points(spark, sf), v.qrects(spark, sf)
-    return w.per_query(joins.match_points_in_rects(data, queries), queries)
+    return w.per_query(counts.rect_hits(data, queries), queries)
+
+
+def wrk_per_query_keys(spark, sf):
+    """Hits of key lookups and key ranges, tagged with their kind."""
+    data, keys, ranges = v.kv(spark, sf), v.qkeys(spark, sf), v.qranges(spark, sf)
+    asked = {"key": (counts.key_hits, keys), "range": (counts.key_range_hits, ranges)}
+    return w.compare({name: lambda h=h, q=q: w.per_query(h(data, q), q) for name, (h, q) in asked.items()})
+
+
+def wrk_per_query_positions(spark, sf):
+    """Hits of exact positions, and of wide boxes of which most cells are covered in full."""
+    data, positions, boxes = v.points(spark, sf), v.qpoints(spark, sf), v.wide_boxes(spark, sf)
+    asked = {"position": (counts.point_hits, positions), "box": (counts.rect_hits, boxes)}
+    return w.compare({name: lambda h=h, q=q: w.per_query(h(data, q), q) for name, (h, q) in asked.items()})
 
 
 SETTINGS = {"kd-4": ("kd", 4), "kd-16": ("kd", 16), "quad-4": ("quad", 4), "quad-64": ("quad", 64), "grid-4": ("grid", 4), "grid-16": ("grid", 16)}
@@ -96,6 +109,8 @@ def wrk_timing(spark, sf):
 QUERIES = {
     "wrk_summary": wrk_summary,
     "wrk_per_query": wrk_per_query,
+    "wrk_per_query_keys": wrk_per_query_keys,
+    "wrk_per_query_positions": wrk_per_query_positions,
     "wrk_family": wrk_family,
     "wrk_compare": wrk_compare,
     "wrk_indexed_vs_scan": wrk_indexed_vs_scan,
@@ -156,6 +171,15 @@ ORACLES = {
         f"""SELECT q.qid, count(h.value) AS n_results FROM qrects q
             LEFT JOIN (SELECT qid, value FROM {_RANGE}) h ON h.qid = q.qid GROUP BY q.qid"""
     ),
+    "wrk_per_query_keys": sql(
+        """SELECT 'key' AS setting, qid, (SELECT count(*) FROM kv WHERE key = k) AS n_results FROM qkeys
+           UNION ALL SELECT 'range', qid, (SELECT count(*) FROM kv WHERE key BETWEEN low AND high) FROM qranges"""
+    ),
+    "wrk_per_query_positions": sql(
+        """SELECT 'position' AS setting, q.qid, count(p.value) AS n_results FROM qpoints q LEFT JOIN points p ON x = px AND y = py GROUP BY q.qid
+           UNION ALL SELECT 'box', q.qid, count(p.value) FROM wide_boxes q
+           LEFT JOIN points p ON x BETWEEN qxmin AND qxmax AND y BETWEEN qymin AND qymax GROUP BY q.qid"""
+    ),
     "wrk_family": sql(
         f"SELECT * EXCLUDE (cells), total_results / num_queries AS avg_results, cells FROM ({_FAMILY})",
         v.descent_sql(2),

@@ -14,12 +14,17 @@ from ..operators.layouts import KeyChunks, Layout, Position
 from .stored import StoredLayout
 
 
-def per_query(pairs: DataFrame, queries: DataFrame, *, qid: str = "qid") -> DataFrame:
-    """``(qid, n_results)``; a query without a hit counts 0.
+def hits_of(pairs: DataFrame) -> DataFrame:
+    """``(qid, n_results)`` of queries with a hit, from pairs; ``operators.counts`` has the same without pairs."""
+    return pairs.groupBy("qid").agg(F.count("value").alias("n_results"))
 
-    Hits are counted per task before the shuffle, so pairs never travel.
+
+def per_query(hits: DataFrame, queries: DataFrame, *, qid: str = "qid") -> DataFrame:
+    """``(qid, n_results)`` for every query; one without a hit counts 0.
+
+    ``hits`` are counts of queries with a hit, or pairs ``(qid, value)``, which are counted per task before the shuffle.
     """
-    hits = pairs.groupBy("qid").agg(F.count("value").alias("n_results"))
+    hits = hits if "n_results" in hits.columns else hits_of(hits)
     asked = queries.select(F.col(qid).alias("qid"))
     return asked.join(hits, "qid", "left").select("qid", F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"))
 
@@ -32,15 +37,23 @@ def _counted(df: DataFrame, name: str, names: tuple[str, ...]) -> DataFrame:
 def summary(
     data: DataFrame,
     queries: DataFrame,
-    pairs: DataFrame,
+    found: DataFrame,
     *,
     algorithm: str,
     workload: str,
     extra: Mapping[str, Column | str] | None = None,
 ) -> DataFrame:
-    """One row: sizes, total hits and hits per query (0.0 without queries)."""
+    """One row: sizes, total hits and hits per query (0.0 without queries).
+
+    ``found`` holds counts ``(qid, n_results)`` or pairs ``(qid, value)``.
+    """
     names = ("n_items", "num_queries", "total_results")
-    parts = [_counted(df, n, names) for df, n in zip((data, queries, pairs), names)]
+    parts = [_counted(df, n, names) for df, n in zip((data, queries), names)]
+    if "n_results" in found.columns:
+        total = F.coalesce(F.sum("n_results"), F.lit(0)).cast("bigint").alias("total_results")
+        parts.append(found.agg(*(F.lit(0).cast("bigint").alias(n) for n in names[:2]), total))
+    else:
+        parts.append(_counted(found, "total_results", names))
     totals = reduce(DataFrame.unionByName, parts).agg(*(F.sum(n).alias(n) for n in names))
     average = F.when(F.col("num_queries") > 0, F.col("total_results") / F.col("num_queries")).otherwise(F.lit(0.0))
     entries = []
