@@ -123,15 +123,47 @@ def _usable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(_and(tests))
 
 
-def _between_extremes(data: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``data`` between the least and the greatest query key, as plain comparisons for the scan."""
-    ends = [f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max))]
-    row = queries.agg(*ends).first()
-    for i, key in enumerate(keys):
-        if row[f"lo{i}"] is None:
+def _in_text(value: Column, kind: T.DataType) -> Column:
+    """A key as text that gives back exactly the same key, whatever the session's time zone."""
+    return (F.unix_micros(value) if isinstance(kind, T.TimestampType) else value).cast("string")
+
+
+def _from_text(text: str, kind: T.DataType) -> Column:
+    return F.timestamp_micros(F.lit(int(text))) if isinstance(kind, T.TimestampType) else F.lit(text).cast(kind)
+
+
+@dataclass(frozen=True)
+class _Reach:
+    """How many queries there are, and the least and the greatest key they ask for, as literals of the key's own type."""
+
+    rows: int
+    ends: tuple[tuple[Column, Column], ...] | None  # None if no query asks for anything
+    texts: tuple[tuple[str, str], ...] = ()
+
+    def within(self, data: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """``data`` between the ends, as plain comparisons for the scan."""
+        if self.ends is None:
             return data.filter(F.lit(False))
-        data = data.filter(F.col(key).between(F.lit(row[f"lo{i}"]), F.lit(row[f"hi{i}"])))
-    return data
+        return data.filter(_and([F.col(key).between(*ends) for key, ends in zip(keys, self.ends)]))
+
+
+def _reach(queries: DataFrame, lows: Sequence[str], highs: Sequence[str]) -> _Reach:
+    """One aggregate over the queries.
+
+    Bounds travel as text and are cast back by Spark: Python's own dates and times would not
+    come back as the same type, nor as the same time in another zone.
+    """
+    measures = [F.count(F.lit(1)).alias("n")]
+    for i, (low, high) in enumerate(zip(lows, highs)):
+        for name, best, column in ((f"lo{i}", F.min, low), (f"hi{i}", F.max, high)):
+            measures.append(_in_text(best(column), queries.schema[column].dataType).alias(name))
+    row = queries.agg(*measures).first()
+    if row["n"] == 0:
+        return _Reach(0, None)
+    texts = tuple((row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(lows)))
+    kinds = [(queries.schema[low].dataType, queries.schema[high].dataType) for low, high in zip(lows, highs)]
+    ends = tuple((_from_text(a, ka), _from_text(b, kb)) for (a, b), (ka, kb) in zip(texts, kinds))
+    return _Reach(row["n"], ends, texts)
 
 
 # -- grids with levels --------------------------------------------------------
@@ -156,7 +188,6 @@ class QueryGrid:
     sides: tuple[float, ...]
     levels: tuple[int, ...]
     own_rows: float  # query rows, counted on each query's own level
-    guest_rows: float  # at most so many more for one row per covered cell of all coarser levels
     reach: tuple[tuple[object, object], ...]  # per axis, the range outside which no query looks
 
     def within_reach(self, lows: Sequence[Column], highs: Sequence[Column]) -> Column:
@@ -221,19 +252,12 @@ def plan_grid(queries: DataFrame, axes: Sequence[Axis], tuning: JoinTuning, *, m
         side = _side_at(base, F.col("__level"))
         span = _number_at(axis.high, side) - _number_at(axis.low, side)
         counts.append(span.cast("double") + 1.0)
-    own_rows = reduce(lambda a, b: a * b, counts)
-    # a coarser cell is at least four times as wide, plus one cut cell at either end
-    guest_rows = reduce(lambda a, b: a * b, [c / LEVEL_FACTOR + 2.0 for c in counts]) * float(TOP_LEVEL)
-    used = (
-        placed.groupBy("__level")
-        .agg(F.sum(own_rows).alias("own_rows"), F.sum(guest_rows).alias("guest_rows"))
-        .collect()
-    )  # at most TOP_LEVEL + 1 rows
+    own_rows = F.sum(reduce(lambda a, b: a * b, counts))
+    used = placed.groupBy("__level").agg(own_rows.alias("own_rows")).collect()  # at most TOP_LEVEL + 1 rows
     return QueryGrid(
         tuple(sides),
         tuple(sorted(row["__level"] for row in used)) or (0,),
         sum(row["own_rows"] for row in used),
-        sum(row["guest_rows"] for row in used),
         tuple((stats[f"first{i}"], stats[f"last{i}"]) for i in range(len(axes))),
     )
 
@@ -352,9 +376,9 @@ def match_keys(
     """``(qid, value)`` for every record whose key equals a query's key."""
     left = data.select(F.col(key).alias("__key"), F.col(value).alias("value"))
     right = _usable(queries.select(F.col(k).alias("__key"), F.col(qid).alias("qid")), ["__key"])
-    left = _between_extremes(left, right, ["__key"])
-    small = _is_small(right, tuning)
-    return join_on(left, right, ["__key"], small=small, tuning=tuning).select("qid", "value")
+    asked = _reach(right, ["__key"], ["__key"])
+    small = asked.rows <= tuning.broadcast_rows
+    return join_on(asked.within(left, ["__key"]), right, ["__key"], small=small, tuning=tuning).select("qid", "value")
 
 
 def match_key_ranges(
@@ -376,11 +400,10 @@ def match_key_ranges(
     bounds = queries.select(F.col(qid).alias("qid"), F.col(low).alias("__low"), F.col(high).alias("__high"))
     right = _usable(bounds, ["__low", "__high"]).filter(F.col("__low") <= F.col("__high"))
     kind, skip = left.schema["__key"].dataType, 0
-    ends = right.agg(F.min("__low").alias("first"), F.max("__high").alias("last")).first()
-    if ends["first"] is not None:
-        left = left.filter(F.col("__key").between(F.lit(ends["first"]), F.lit(ends["last"])))
-    if isinstance(kind, T.StringType):
-        both = [(e or "").encode() for e in ends]
+    asked = _reach(right, ["__low"], ["__high"])
+    left = asked.within(left, ["__key"])
+    if isinstance(kind, T.StringType) and asked.texts:
+        both = [e.encode() for e in asked.texts[0]]
         skip = next((i for i, (a, b) in enumerate(zip(*both)) if a != b), min(map(len, both)))
     right = right.withColumns({"__from": _ordinal(F.col("__low").cast(kind), kind, skip), "__to": _ordinal(F.col("__high").cast(kind), kind, skip)})
     left = left.withColumn("__at", _ordinal(F.col("__key"), kind, skip))
@@ -400,8 +423,9 @@ def _ordinal(key: Column, kind: T.DataType, skip: int) -> Column:
         return F.conv(F.rpad(digits, 14, "0"), 16, 10).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(key).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return key.cast("timestamp").cast("double")
+    if isinstance(kind, T.TimestampNTZType):  # by its fields: as an instant it would fall where clocks are set back
+        seconds = F.hour(key) * 3600 + F.minute(key) * 60 + F.date_part(F.lit("SECOND"), key).cast("double")
+        return F.unix_date(key.cast("date")).cast("double") * 86400.0 + seconds
     return key.cast("double")
 
 
@@ -423,9 +447,9 @@ def match_points(
     """``(qid, value)`` for every point equal to a query point on both coordinates."""
     left = data.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("value"))
     right = _usable(queries.select(F.col(px).alias("__x"), F.col(py).alias("__y"), F.col(qid).alias("qid")), ["__x", "__y"])
-    left = _between_extremes(left, right, ["__x", "__y"])
-    small = _is_small(right, tuning)
-    return join_on(left, right, ["__x", "__y"], small=small, tuning=tuning).select("qid", "value")
+    asked = _reach(right, ["__x", "__y"], ["__x", "__y"])
+    small = asked.rows <= tuning.broadcast_rows
+    return join_on(asked.within(left, ["__x", "__y"]), right, ["__x", "__y"], small=small, tuning=tuning).select("qid", "value")
 
 
 def _query_boxes(queries: DataFrame, qid: str, sides: Sequence[str]) -> DataFrame:
@@ -473,15 +497,16 @@ def _overlap_match(
 
     near = data.filter(grid.within_reach([box.xmin, box.ymin], [box.xmax, box.ymax]))
     left = _box_side(near, data_axes, grid, tuning.data_cells, grid.levels, "__own")
-    # a data box may live on any coarser level, so queries show up on all of those; where that
-    # is too much to broadcast, one count per cell tells the occupied levels and the hot cells
-    small, levels, counts = grid.own_rows + grid.guest_rows <= tuning.broadcast_rows, None, None
-    if not small and not data.isStreaming:
-        counts = key_row_counts(left, _cell_keys(2))
-        levels = sorted(row["__level"] for row in counts.select("__level").distinct().collect())
+    # a data box may live on any coarser level, so queries show up on those that data boxes do live on
+    levels, counts = None, None
+    if not data.isStreaming:
+        own = near.select(_own_level(data_axes, grid.sides, tuning.data_cells).alias("level")).distinct()
+        levels = sorted(row["level"] for row in own.collect())  # at most TOP_LEVEL + 1
     right = _box_side(queries, query_axes, grid, tuning.query_cells, levels, "__qown")
     right = right.drop("__side0", "__side1")
-    small = small or _is_small(right, tuning)
+    small = _is_small(right, tuning)
+    if not small and not data.isStreaming:
+        counts = key_row_counts(left, _cell_keys(2))
     met = join_on(left, right, _cell_keys(2), small=small, tuning=tuning, counts=counts)
 
     once = _and(
