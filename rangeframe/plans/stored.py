@@ -38,8 +38,11 @@ from ..operators.layouts import (
 )
 from ..operators.lookup import KeyAt, KeyRange, PointAt, Window, key_query, point_query, rect_query
 from ..schema import drop_unusable
+from .runtime import cut_lineage, row_count_up_to
 
 CELL_RANGES = 200  # most ranges of cells in a partition filter; beyond it the nearest ranges are joined
+BLOCK_SHARE = 16  # expanded rows of a query, as a rule; so many fewer queries than may be broadcast form a block
+MOST_BLOCKS = 64  # blocks of a batch; beyond it data and queries are shuffled once instead
 
 
 def cell_ranges(cells: list[int], most: int) -> list[tuple[int, int]]:
@@ -49,6 +52,24 @@ def cell_ranges(cells: list[int], most: int) -> list[tuple[int, int]]:
     return [(cells[a], cells[b - 1]) for a, b in zip([0, *starts], [*starts, len(cells)])]
 
 
+def query_blocks(asked: list[tuple[int, int]], most: int) -> list[tuple[list[int], int]]:
+    """Neighbouring cells with at most ``most`` routed queries together, as ``(cells, pieces)``.
+
+    ``asked`` holds ``(cell, queries)`` in order.  A cell with more queries is a block of its own, its queries
+    dealt to as many pieces as it takes.
+    """
+    blocks: list[tuple[list[int], int]] = []
+    room = 0
+    for cell, n in asked:
+        if n <= room:
+            blocks[-1][0].append(cell)
+            room -= n
+        else:
+            blocks.append(([cell], -(-n // most)))
+            room = max(0, most - n)
+    return blocks
+
+
 @dataclass(frozen=True)
 class StoredLayout:
     """A data set laid out in cells at ``path``."""
@@ -206,17 +227,41 @@ class StoredLayout:
             return d.route_points(queries, self.directory())
         return d.route_rects(queries, self.directory())
 
-    def match(self, queries: DataFrame) -> DataFrame:
-        """``(qid, value)`` for a whole query table, reading only cells some query needs."""
-        touched = self.route(queries).select("cell").distinct()
-        cells = sorted(row["cell"] for row in touched.collect())  # at most one row per cell
-        data, columns, value = self._pruned(cells), self.at.columns, self.at.value
+    def match(self, queries: DataFrame, *, tuning: joins.JoinTuning = joins.DEFAULT_TUNING) -> DataFrame:
+        """``(qid, value)`` for a whole query table, reading only cells some query needs.
+
+        The stored cells take the place of a shuffle of the data.  A query table that is too large to be
+        broadcast is cut into blocks by the cells that its queries are routed to.  Each block's queries
+        are broadcast to its own cells, so every stored row is read where it lies and meets the queries of one
+        block.  Only where a single cell has more queries than a block takes is it read once per block.
+        """
+        routed = self.route(queries)
+        most = tuning.broadcast_rows if {"k", "px"} & set(queries.columns) and len(self.at.columns) < 4 else max(1, tuning.broadcast_rows // BLOCK_SHARE)
+        if row_count_up_to(queries, most) <= most:
+            cells = sorted(row["cell"] for row in routed.select("cell").distinct().collect())  # at most one row per cell
+            return self._matched(self._pruned(cells), queries, tuning)
+        routed = cut_lineage(routed)
+        asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # at most one row per cell
+        blocks = query_blocks([(r["cell"], r["n"]) for r in asked], most)
+        if sum(pieces for _, pieces in blocks) > MOST_BLOCKS:
+            return self._matched(self._pruned([r["cell"] for r in asked]), queries, tuning)
+        found = []
+        for cells, pieces in blocks:
+            wanted = routed.filter(F.col("cell").between(cells[0], cells[-1])).select(F.col("qid").alias("__routed"))
+            own = queries.join(wanted, F.col("qid").eqNullSafe(F.col("__routed")), "left_semi")
+            for piece in range(pieces):
+                some = own if pieces == 1 else own.filter(F.pmod(F.xxhash64(*own.columns), F.lit(pieces)) == piece)
+                found.append(self._matched(self._pruned(cells), cut_lineage(some), tuning))
+        return reduce(DataFrame.union, found) if found else self._matched(self._pruned([]), queries, tuning)
+
+    def _matched(self, data: DataFrame, queries: DataFrame, tuning: joins.JoinTuning) -> DataFrame:
+        columns, value = self.at.columns, self.at.value
         names = set(queries.columns)
         if len(columns) == 1:
             match = joins.match_keys if "k" in names else joins.match_key_ranges
-            return match(data, queries, key=columns[0], value=value)
+            return match(data, queries, key=columns[0], value=value, tuning=tuning)
         if len(columns) == 2:
             match = joins.match_points if "px" in names else joins.match_points_in_rects
-            return match(data, queries, x=columns[0], y=columns[1], value=value)
+            return match(data, queries, x=columns[0], y=columns[1], value=value, tuning=tuning)
         match = joins.match_rects_at_points if "px" in names else joins.match_rects
-        return match(data, queries, sides=columns, value=value)
+        return match(data, queries, sides=columns, value=value, tuning=tuning)
