@@ -155,8 +155,8 @@ def test_plans_have_equi_joins_only(spark, name, tmp_path):
     assert "LessThanOrEqual(xmin" in plan and "GreaterThanOrEqual(xmax" in plan
 
 
-@pytest.mark.parametrize("block_rows", [65_536, 4])
-def test_least_enlargement(spark, block_rows):
+@pytest.mark.parametrize("fan", [32, 2])
+def test_least_enlargement(spark, fan):
     def area(r):
         return max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
 
@@ -172,7 +172,7 @@ def test_least_enlargement(spark, block_rows):
     got = least_enlargement(
         spark.createDataFrame(rects, RECTS),
         spark.createDataFrame(regions, "region bigint, xmin double, ymin double, xmax double, ymax double"),
-        block_rows=block_rows,
+        fan=fan,
     )
     assert sorted((r["value"], r["region"]) for r in got.collect()) == sorted(want)
 
