@@ -38,12 +38,29 @@ PERCENT = 5  # of the documents that are long enough are drawn
 LEAST_WORDS = 20
 SEED = 42
 BATCH_WORDS = 1 << 16  # words whose features are interned together
-_LONG = 256  # bytes from which features are compared one by one
+_LONG = 64  # bytes above which features are compared, and their checksums taken, one by one
 
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z have been lower-cased; all other bytes separate words
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+# fixed values of the xxhash64 and crc32 definitions
+_P1, _P2, _P3, _P4, _P5 = map(
+    np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+_CRC_POLYNOMIAL = 0xEDB88320
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(_CRC_POLYNOMIAL), table >> 1)
+    return table
+
+
+_CRC_TABLE = _crc_table()
+
+
 @dataclass
 class Words:
     """Words of several texts in one buffer, joined by one space, and the text of each."""
@@ -59,8 +76,8 @@ def words_of(texts: list[str | None]) -> Words:
     lengths = np.array([len(f) + 1 for f in folded], dtype=np.int64)
     raw = np.frombuffer(b" ".join(folded), dtype=np.uint8)
     inside = raw != 0x20
-    edges = np.diff(inside.view(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
     kept = inside.copy()
     kept[end[end < len(raw)]] = True  # one separator behind each word
     closed = np.cumsum(end - start + 1)
@@ -80,23 +97,67 @@ def features(words: Words, first: int, last: int, longest: int) -> tuple[np.ndar
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(owners)
 
 
+def eights_of(buffer: bytes) -> np.ndarray:
+    """The eight bytes that begin at each place of the buffer, as one number."""
+    padded = np.frombuffer(buffer + bytes(8), dtype=np.uint8)
+    return np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def xxhash64(buffer: bytes, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The xxhash64 of each span; spans below 32 bytes, nearly all, are hashed together."""
+    size = end - start
+    h = size.astype(np.uint64) + _P5
+    for lane in range(3):
+        at = np.flatnonzero(size >= 8 * lane + 8)
+        h[at] = _rotated(h[at] ^ _rotated(eights[start[at] + 8 * lane] * _P2, 31) * _P1, 27) * _P1 + _P4
+    place = start + (size & ~7)
+    at = np.flatnonzero(size & 4)
+    h[at] = _rotated(h[at] ^ (eights[place[at]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    place[at] += 4
+    for byte in range(3):
+        at = np.flatnonzero(size & 3 > byte)
+        h[at] = _rotated(h[at] ^ (eights[place[at] + byte] & np.uint64(0xFF)) * _P5, 11) * _P1
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(buffer[start[i] : end[i]])
+    return h
+
+
+def crc32(buffer: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The crc32 of each span, a byte of all spans at a time; long ones first, so that those still open stand together."""
+    raw, size = np.frombuffer(buffer, dtype=np.uint8), end - start
+    order = np.argsort(-size, kind="stable")
+    first, left = start[order], size[order]
+    state = np.full(len(size), 0xFFFFFFFF, dtype=np.uint32)
+    single = int(np.count_nonzero(left > _LONG))
+    for k in range(int(left[single]) if single < len(left) else 0):
+        until = int(np.searchsorted(-left, -k, side="left"))  # these have more than k bytes
+        some = state[single:until]
+        state[single:until] = _CRC_TABLE[(some ^ raw[first[single:until] + k]) & 0xFF] ^ (some >> np.uint32(8))
+    out = np.empty(len(size), dtype=np.int64)
+    out[order] = ~state
+    for i in order[:single].tolist():
+        out[i] = zlib.crc32(buffer[start[i] : end[i]])
+    return out
+
+
 class Table:
     """Distinct features of a batch in slots: ``slot`` of each occurrence, ``bucket`` and ``count`` of each slot."""
 
     def __init__(self, buffer: bytes, start: np.ndarray, end: np.ndarray, buckets: int, *, keys: np.ndarray | None = None) -> None:
         self._bytes, self._start, self._size = buffer, start, end - start
-        padded = np.frombuffer(buffer + bytes(8), dtype=np.uint8)
-        self._eights = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-        if keys is None:
-            digest = xxhash.xxh64_intdigest
-            spans = zip(start.tolist(), end.tolist())
-            keys = np.fromiter((digest(buffer[a:b]) for a, b in spans), dtype=np.uint64, count=len(start))
-        held = self._interned(keys)
+        self._eights = eights_of(buffer)
+        held = self._interned(xxhash64(buffer, self._eights, start, end) if keys is None else keys)
         used = np.flatnonzero(held >= 0)
         self.count = np.bincount(self.slot, minlength=len(held))
         self.bucket = np.zeros(len(held), dtype=np.int64)
-        spans = zip(start[held[used]].tolist(), end[held[used]].tolist())
-        self.bucket[used] = [zlib.crc32(buffer[a:b]) % buckets for a, b in spans]
+        self.bucket[used] = crc32(buffer, start[held[used]], end[held[used]]) % buckets
         self.used = used
 
     def _interned(self, keys: np.ndarray) -> np.ndarray:
@@ -136,12 +197,12 @@ class Table:
         return same
 
 
-def _batches(texts: list[str | None], longest: int, buckets: int) -> Iterator[tuple[Table, np.ndarray]]:
-    """Tables of the texts' features, with the text of each occurrence."""
-    words = words_of(texts)
+def _batches(words: Words, longest: int, buckets: int) -> Iterator[tuple[Table, np.ndarray]]:
+    """Tables of the features of several texts, with the text of each occurrence."""
     for first in range(0, len(words.start), BATCH_WORDS):
         start, end, owner = features(words, first, first + BATCH_WORDS, longest)
-        yield Table(words.buffer, start, end, buckets), owner
+        low, high = int(start[0]), int(end.max())  # the batch's own part of the buffer
+        yield Table(words.buffer[low:high], start - low, end - low, buckets), owner
 
 
 def bucket_counts(docs: DataFrame, *, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
@@ -150,7 +211,7 @@ def bucket_counts(docs: DataFrame, *, text: str = "text", longest: int = LONGEST
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(buckets, dtype=np.int64)
         for frame in frames:
-            for table, _ in _batches(list(frame["text"]), longest, buckets):
+            for table, _ in _batches(words_of(list(frame["text"])), longest, buckets):
                 np.add.at(total, table.bucket[table.used], table.count[table.used])
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
@@ -195,12 +256,12 @@ def scored(
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            n, texts = len(frame), list(frame["text"])
+            n, words = len(frame), words_of(list(frame["text"]))
             n_features, weight = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            for table, owner in _batches(texts, longest, buckets):
+            for table, owner in _batches(words, longest, buckets):
                 n_features += np.bincount(owner, minlength=n)
                 np.add.at(weight, owner, gained.value[table.bucket][table.slot])
-            n_words = np.bincount(words_of(texts).owner, minlength=n)
+            n_words = np.bincount(words.owner, minlength=n)
             drawn = np.array([noise(key, seed) for key in frame["doc_id"]], dtype=np.int64)
             kept = frame[["doc_id", "mark"]]
             yield kept.assign(n_words=n_words, n_features=n_features, weight=weight, score=weight + drawn)

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from rangeframe.llm import resample
 
@@ -101,6 +102,18 @@ def test_words_equal_the_pattern():
         assert [got.buffer[a:b].decode() for a, b in zip(got.start[at], got.end[at])] == WORD.findall((text or "").translate(UP))
 
 
+def test_hashes_equal_the_libraries():
+    rng = np.random.default_rng(3)
+    buffer = rng.integers(0, 256, 50_000, dtype=np.uint8).tobytes()
+    start = np.concatenate([np.arange(300), rng.integers(0, 45_000, 3000), [0]])
+    end = start + np.concatenate([np.arange(300), rng.integers(0, 90, 3000), [50_000]])
+    spans = [buffer[a:b] for a, b in zip(start, end)]
+    got = resample.xxhash64(buffer, resample.eights_of(buffer), start, end)
+    assert got.tolist() == [xxhash.xxh64_intdigest(s) for s in spans]
+    assert resample.crc32(buffer, start, end).tolist() == [zlib.crc32(s) for s in spans]
+    assert len(resample.crc32(b"", start[:0], end[:0])) == 0
+
+
 @pytest.mark.parametrize("keyed", ["own", "all alike", "few"])
 def test_table_keeps_features_apart(keyed):
     """Bytes decide: the table is right even if every key collides."""
