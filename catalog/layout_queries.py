@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rangeframe.operators.kdsplit import kd_cells
 from rangeframe.operators.layouts import KEY, POINT, RECT, colocated, fit_layout, sorted_by_key, with_cells
 from rangeframe.operators.quadleaves import quad_height, quad_leaves
+from rangeframe.plans.runtime import cut_lineage
 
 from . import views as v
 from .views import sql
@@ -71,6 +72,15 @@ def lay_quad_leaves(spark, sf):
     return quad_leaves(v.points(spark, sf), capacity=LEAF_CAPACITY, max_depth=LEAF_DEPTH)
 
 
+def lay_leaf_cells(spark, sf):
+    """Points per cell of the adaptive layout, found by interval search, with the first code of each cell."""
+    points = v.points(spark, sf)
+    layout = fit_layout(points, "leaves", at=POINT, n_cells=1, capacity=LEAF_CAPACITY, max_depth=LEAF_DEPTH)
+    starts = spark.createDataFrame(list(layout.starts), "first_code bigint, cell int")
+    counts = cut_lineage(layout.assign(points, POINT).groupBy("cell").agg(F.count(F.lit(1)).alias("n_items")))
+    return counts.join(starts, "cell").select("cell", "first_code", "n_items")
+
+
 def lay_by_name(spark, sf):
     made = [
         with_cells(v.kv(spark, sf), "key", at=KEY, n_cells=8),
@@ -102,6 +112,7 @@ QUERIES = {
     "lay_quad_height": lambda spark, sf: quad_height(lay_quad_leaves(spark, sf)),
     "lay_kd_cells": lambda spark, sf: kd_cells(v.points(spark, sf), depth=3).select("value", "node"),
     "lay_kd_height": lay_kd_height,
+    "lay_leaf_cells": lay_leaf_cells,
     "lay_by_name": lay_by_name,
 }
 
@@ -164,6 +175,14 @@ ORACLES = {
     ),
     "lay_kd_cells": sql("SELECT value, node FROM kd3", v.kd_sql(3, keep_pivot=True)),
     "lay_kd_height": sql(" UNION ALL ".join(map(_kd_row, KD_CAPACITIES))),
+    "lay_leaf_cells": sql(
+        f"""SELECT cast(place AS integer) AS cell, CASE WHEN place = 0 THEN 0 ELSE code END AS first_code, n_items FROM (
+              SELECT *, row_number() OVER (ORDER BY code) - 1 AS place FROM (
+                SELECT path * cast(pow(4, {LEAF_DEPTH} - level) AS bigint) AS code, n_items FROM leaves))""",
+        v.descent_sql(LEAF_DEPTH),
+        _LEAVES,
+        recursive=True,
+    ),
     "lay_by_name": sql(
         f"""SELECT 'key' AS layout, cell, count(*) AS n_items
             FROM (SELECT {v.key_chunk_sql(8, 'kv.key')} AS cell FROM kv, kb) GROUP BY cell

@@ -16,8 +16,11 @@ from ..functions import cells as c
 from ..functions import geometry as g
 from ..functions.cells import Bounds
 from ..functions.geometry import Box
+from ..plans.runtime import cut_lineage
 from .directory import key_bounds, point_bounds, read_bounds
+from .intervals import with_interval
 from .kdsplit import ROOT, kd_cells
+from .quadleaves import quad_leaves
 
 MAX_CELLS = 100_000  # default of ``most_cells``: cells travel with the plan and are listed on the driver
 
@@ -182,6 +185,75 @@ class KdCells:
         return state.select(*df.columns, number.alias(cell))
 
 
+@dataclass(frozen=True)
+class QuadLeaves:
+    """Leaves of an adaptive quadtree as intervals of its curve: none holds more than ``capacity`` points.
+
+    ``starts`` holds the first code of each interval on the finest level and its cell, in the order of codes.  An
+    interval ends where the next one begins, so boxes that were empty belong to the leaf before them.
+    Only identical points, and what the finest level cannot tell apart, may exceed the capacity.
+    """
+
+    bounds: Bounds
+    depth: int
+    capacity: int
+    starts: tuple[tuple[int, int], ...] = ((0, 0),)
+    name = "leaves"
+
+    @classmethod
+    def fit(
+        cls, df: DataFrame, at: Position, n_cells: int, *, capacity: int | None = None, max_depth: int = 16, most_cells: int = MAX_CELLS
+    ) -> "QuadLeaves":
+        """Without ``capacity``, it is what ``n_cells`` half full leaves would hold together."""
+        _check_cells(n_cells, most_cells)
+        bounds, depth = _data_bounds(df, at), min(30, max_depth + max_depth % 2)  # whole digits of four bits
+        if capacity is None:
+            capacity = max(1, -(-2 * df.count() // n_cells))
+        empty = cls(bounds, depth, capacity)
+        codes = empty.leaf_codes(df, at, most_cells)
+        return cls(bounds, depth, capacity, tuple((0 if i == 0 else code, i) for i, code in enumerate(codes)) or ((0, 0),))
+
+    def leaf_codes(self, df: DataFrame, at: Position, most_cells: int = MAX_CELLS) -> list[int]:
+        """First codes of the leaves that the records alone would need, in order."""
+        x, y = at.xy
+        leaves = quad_leaves(df.select(x.alias("x"), y.alias("y")), capacity=self.capacity, max_depth=self.depth, bounds=self.bounds)
+        leaves = cut_lineage(leaves)
+        _check_cells(max(1, leaves.count()), most_cells)
+        rows = leaves.select("level", "path").collect()
+        return sorted(r["path"] << 2 * (self.depth - r["level"]) for r in rows)
+
+    @property
+    def n_cells(self) -> int:
+        return len(self.starts)
+
+    def assign(self, df: DataFrame, at: Position = POINT, cell: str = "cell") -> DataFrame:
+        x, y = at.xy
+        coded = c.with_quad_path(df, x, y, self.bounds, self.depth, path="__path")
+        placed = with_interval(coded, F.col("__path"), list(self.starts), 2 * self.depth, cell)
+        return placed.drop("__path")
+
+    def split(self, codes: Sequence[int], cells: Sequence[int], next_cell: int) -> list[tuple[int, int]]:
+        """``(first code, new cell)`` of the pieces of over-full ``cells`` that begin at some of the ``codes``.
+
+        The first piece gets a new cell as well: a cell that was split holds nothing any more.  A cell in which
+        no piece begins cannot be split and is left out.
+        """
+        ends = [start for start, _ in self.starts[1:]] + [1 << 2 * self.depth]
+        pieces = []
+        for (start, cell), end in zip(self.starts, ends):
+            inside = [code for code in codes if start < code < end] if cell in cells else []
+            if inside:
+                pieces += [(code, next_cell + len(pieces) + i) for i, code in enumerate([start, *inside])]
+        return pieces
+
+    def with_splits(self, rows: Sequence[tuple[int, int]]) -> "QuadLeaves":
+        """The layout after all splits ``(first code, cell)``: of the cells of one code the latest counts."""
+        latest = dict(self.starts)
+        for code, cell in rows:
+            latest[code] = max(cell, latest.get(code, -1))
+        return QuadLeaves(self.bounds, self.depth, self.capacity, tuple(sorted(latest.items())))
+
+
 def _pivots(placed: DataFrame, depth: int) -> list[tuple[int, float, object]]:
     """The least record of each right half, which is the record its parent split at."""
     if depth == 0:
@@ -210,8 +282,8 @@ def _data_bounds(df: DataFrame, at: Position) -> Bounds:
     return read_bounds(point_bounds(df, x=at.columns[0], y=at.columns[1]))
 
 
-LAYOUTS = {"key": KeyChunks, "grid": Grid, "quad": Quad, "kd": KdCells}
-Layout = KeyChunks | Grid | Quad | KdCells
+LAYOUTS = {"key": KeyChunks, "grid": Grid, "quad": Quad, "kd": KdCells, "leaves": QuadLeaves}
+Layout = KeyChunks | Grid | Quad | KdCells | QuadLeaves
 
 
 def fit_layout(df: DataFrame, by: str, *, at: Position, n_cells: int, **options) -> Layout:
@@ -235,8 +307,9 @@ def layout_from_dict(state: dict) -> Layout:
     cls = LAYOUTS[state.pop("layout")]
     if "bounds" in state:
         state["bounds"] = Bounds(**state["bounds"])
-    if "pivots" in state:
-        state["pivots"] = tuple(tuple(p) for p in state["pivots"])
+    for name in ("pivots", "starts"):
+        if name in state:
+            state[name] = tuple(tuple(p) for p in state[name])
     return cls(**state)
 
 

@@ -9,6 +9,11 @@ per cell of a batch, with the part that holds its records.  A batch's records ar
 first and its directory is read off them, so the input is computed once;
 writing the directory publishes the part.  A batch that is repeated publishes
 a new part instead of the old one and never adds records twice.
+
+Cells of the adaptive layout (``leaves``) split when an append makes them over-full.  The records of such a cell are
+written once more as a part of their own, under new cells, and ``splits/batch=B`` logs where these begin.  Publishing that
+part's directory publishes the split: readers fold the logged splits of published batches into the routing,
+and cells that were split hold nothing any more.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from ..operators.layouts import (
     KeyChunks,
     Layout,
     Position,
+    QuadLeaves,
     colocated,
     fit_layout,
     layout_from_dict,
@@ -132,8 +138,71 @@ class StoredLayout:
         """Add records under the stored cells; records outside the bounds go to edge cells."""
         if batch in self.compacted:
             raise ValueError(f"batch {batch!r} is part of a compacted one and cannot be replaced")
+        if isinstance(self.layout, QuadLeaves) and batch != "base" and self._was_moved(batch):
+            raise ValueError(f"records of batch {batch!r} have moved with a split cell and cannot be replaced")
         picked = drop_unusable(df.select(*self.schema.fieldNames()), list(self.at.columns))
-        self._add(self.layout.assign(picked, self.at), batch)
+        self._add(self.current().assign(picked, self.at), batch)
+        if isinstance(self.layout, QuadLeaves):
+            self.split()
+
+    # -- splitting --
+
+    def _logged(self) -> DataFrame | None:
+        """``(start, cell, batch)`` of all splits written, published or not."""
+        if not isinstance(self.layout, QuadLeaves) or not self._exists(f"{self._folder}/splits"):
+            return None
+        kinds = "start bigint, cell int, batch string"
+        return self.spark.read.schema(kinds).option("basePath", f"{self._folder}/splits").parquet(f"{self._folder}/splits")
+
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+    def _splits(self) -> list[tuple[int, int]]:
+        """``(first code, cell)`` of the published splits; at most two rows per cell."""
+        logged = self._logged()
+        if logged is None:
+            return []
+        published = self._batches().select("batch")
+        return [(r["start"], r["cell"]) for r in logged.join(published, "batch", "left_semi").collect()]
+
+    def _was_moved(self, batch: str) -> bool:
+        known = self._exists(f"{self._folder}/directory/batch={batch}")
+        return known and bool(self._splits())
+
+    def current(self) -> Layout:
+        """The layout with all published splits."""
+        splits = self._splits()
+        return self.layout.with_splits(splits) if splits else self.layout
+
+    def _dead_cells(self) -> list[int]:
+        """Cells that were split; at most as many as there are cells."""
+        splits = self._splits()
+        if not splits:
+            return []
+        live = {cell for _, cell in self.layout.with_splits(splits).starts}
+        return sorted({cell for _, cell in self.layout.starts}.union(c for _, c in splits) - live)
+
+    def split(self) -> int:
+        """Split every over-full cell in place; returns how many were split."""
+        layout = self.current()
+        over = [r["cell"] for r in self.directory().filter(F.col("n_items") > layout.capacity).select("cell").collect()]
+        if not over:
+            return 0
+        codes = layout.leaf_codes(self._pruned(sorted(over)), self.at)
+        every = [cell for _, cell in self.layout.starts] + [cell for _, cell in self._splits()]
+        pieces = layout.split(codes, set(over), max(every) + 1)
+        if not pieces:  # points that the finest level cannot tell apart
+            return 0
+        batch = f"split-{uuid.uuid4().hex}"
+        after = layout.with_splits(pieces)
+        gone = {cell for _, cell in layout.starts} - {cell for _, cell in after.starts}
+        moved = self._pruned(sorted(gone)).select(*self.schema.fieldNames())
+        self.spark.createDataFrame(pieces, "start bigint, cell int").write.parquet(f"{self._folder}/splits/batch={batch}")
+        self._add(after.assign(moved, self.at), batch)
+        return len(gone)
+
+    # -- writing parts --
 
     def _add(self, placed: DataFrame, batch: str) -> None:
         part = uuid.uuid4().hex
@@ -149,7 +218,7 @@ class StoredLayout:
         who hold it.  The batches merged can no longer be replaced one by one.
         """
         merged = tuple(r["batch"] for r in self._batches().collect())  # one row per batch
-        fresh = StoredLayout(self.spark, self.path, self.layout, self.at, self.schema, uuid.uuid4().hex, self.compacted + merged)
+        fresh = StoredLayout(self.spark, self.path, self.current(), self.at, self.schema, uuid.uuid4().hex, self.compacted + merged)
         fresh._add(self.data().select(*self.schema.fieldNames(), "cell"), batch)
         fresh._publish()
         return fresh
@@ -177,11 +246,15 @@ class StoredLayout:
     def data(self) -> DataFrame:
         """All records of published batches with their cell; ``cell`` is a partition column."""
         parts = [r["part"] for r in self._batches().collect()]  # one per batch
-        return self._stored_rows().filter(F.col("part").isin(parts)).drop("part")
+        return self._live(self._stored_rows().filter(F.col("part").isin(parts)).drop("part"))
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        dead = self._dead_cells()
+        return rows.filter(~F.col("cell").isin(dead)) if dead else rows
 
     def directory(self) -> DataFrame:
         """Directory over all batches."""
-        return d.merge_directories(self._published())
+        return d.merge_directories(self._live(self._published()))
 
     def count(self) -> DataFrame:
         """One row ``(n_items)``, from the directory alone."""
