@@ -23,13 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_frames, quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
-from .similar import first_of_groups  # noqa: F401
 
 PAIR_LIMIT = 64
 
@@ -150,9 +149,10 @@ def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_
         marked.groupBy("node").agg(F.min(row).alias("least"), F.first("lanes").alias("lanes"), F.first("parts").alias("parts")),
         "simhash-nodes",
     )
-    shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    members = _variants(nodes, spec).select("node", "key", shared.alias("n")).filter("n > 1")
-    members = written(members, "simhash-members")
+    variants = _variants(nodes, spec)
+    # counted map-side first and joined back: a variant that many nodes share is dealt to several tasks
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(variants.join(shared, "key").select("node", "key", "n"), "simhash-members")
     links = _pairs(members.filter(F.col("n") <= pair_limit), spec)
     links = links.union(_stars(members.filter(F.col("n") > pair_limit)))
     roots = connected_components(links)

@@ -19,6 +19,7 @@ from rangeframe.llm import (
     mixing,
     quality,
     sharding,
+    similar,
     simhash as near,
     url_filter,
 )
@@ -91,7 +92,7 @@ def test_simhash_stars_equal_pairs(spark):
 
 
 def test_near_copies_leave_one_row(clashing):
-    kept = near.first_of_groups(clashing).collect()
+    kept = similar.first_of_groups(clashing).collect()
     ids = Counter(r["doc_id"] for r in kept)
     assert kept[0].asDict().keys() == set(clashing.columns)
     assert ids[7] == 1 and ids[8] == 0 and ids[9] == 0 and ids[6] == 1 and ids[10] == 1
@@ -113,11 +114,11 @@ def test_similar_pairs_are_found(spark):
     sets = [set(shingles(t, 5)) for _, t in rows]
     truth = components([r[0] for r in rows], lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r["doc_id"] for r in near.first_of_groups(table).collect()}
-    assert set(truth) <= kept and len(kept) <= len(set(truth)) + 2
-    # with every shared variant taken for a crowd: nothing unlike is joined, and most copies are found
-    kept = {r["doc_id"] for r in near.first_of_groups(table, pair_limit=1).collect()}
-    assert set(truth) <= kept and len(kept) <= 1.5 * len(set(truth))
+    kept = {r["doc_id"] for r in similar.first_of_groups(table).collect()}
+    assert kept == set(truth)
+    # the same with every shared shingle taken for a crowd
+    kept = {r["doc_id"] for r in similar.first_of_groups(table, pair_limit=1).collect()}
+    assert kept == set(truth)
 
 
 def test_leaks_equal_brute_force(spark, docs, items):
@@ -377,7 +378,7 @@ def test_quality_on_held_out_labels(spark):
 
 def test_empty_tables(spark, empty, labels, items):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
-    assert near.simhash_groups(empty).count() == near.first_of_groups(empty).count() == 0
+    assert near.simhash_groups(empty).count() == similar.first_of_groups(empty).count() == 0
     assert decontaminate.find_leaks(empty, items).count() == decontaminate.without_leaks(empty, items).count() == 0
     assert decontaminate.find_leaks(empty, items.limit(0)).count() == 0
     assert line_dedup.drop_common_lines(empty).count() == merkle.edited_fingerprints(empty).count() == 0
