@@ -1,8 +1,9 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A *run* is a bucketed, sorted table ``(line_key, n_docs)``: every line key of one
-or more batches with the number of documents that hold it.  A new batch is met
-with the runs by merge joins on the key, then becomes a run of level 0 itself.
+A *run* is a bucketed, sorted table ``(line_key, n_docs)``: line keys of one or more batches
+with the number of documents that hold them.  A new batch is met with the runs by merge
+anti-joins on the key, and what they leave becomes a run of level 0 itself.  A key that some run
+already holds in as many documents as it takes is settled: later batches do not add it again.
 When a level holds ``fan_in`` runs they are merged into one run of the next level,
 so after ``n`` batches there are about ``fan_in * log(n)`` runs, and each key is
 rewritten once per level.  All runs share one bucketing by key, so joins and
@@ -71,18 +72,34 @@ class LineRuns:
         )
         return name
 
-    def _all(self, names: list[str]) -> DataFrame:
-        tables = [self.spark.table(n) for n in names]
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs as one, by merge joins on their common bucketing.
+
+        Not a union that is grouped: Spark 4.1 takes the buckets of all tables for co-located there, then reads
+        them unbucketed, and a key would keep one row per run.
+        """
+
+        def both(left: DataFrame, right: DataFrame) -> DataFrame:
+            other = right.select(F.col("line_key").alias("other_key"), F.col("n_docs").alias("more"))
+            met = left.join(other.hint("merge"), F.col("line_key") == F.col("other_key"), "full_outer")
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            return met.select(F.coalesce("line_key", "other_key").alias("line_key"), total.cast("bigint").alias("n_docs"))
+
         empty = self.spark.createDataFrame([], "line_key string, n_docs bigint")
-        return reduce(DataFrame.unionByName, tables) if tables else empty
+        return reduce(both, [self.spark.table(n) for n in names]) if names else empty
 
     @property
     def names(self) -> list[str]:
         return [n for level in self.levels for n in level]
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of ``keys`` whose ``line_key`` is in no run: one merge anti-join per run."""
-        return reduce(lambda rows, name: rows.join(self.spark.table(name), "line_key", "left_anti"), self.names, keys)
+    def unseen(self, keys: DataFrame, min_docs: int = 1) -> DataFrame:
+        """Rows of ``keys`` whose ``line_key`` no run holds in ``min_docs`` documents: one merge anti-join per run."""
+
+        def without(rows: DataFrame, name: str) -> DataFrame:
+            held = self.spark.table(name).filter(F.col("n_docs") >= min_docs).select("line_key")
+            return rows.join(held.hint("merge"), "line_key", "left_anti")
+
+        return reduce(without, self.names, keys)
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch's ``(line_key, n_docs)``, one row per key, and compact full levels."""
@@ -94,13 +111,13 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self._all(full).groupBy("line_key").agg(F.sum("n_docs").alias("n_docs")))
+            merged = self._write(self._merged(full))
             self._forget(full)
             self._put(level + 1, merged)
 
     def counts(self) -> DataFrame:
-        """``(line_key, n_docs)`` over all batches."""
-        return self._all(self.names).groupBy("line_key").agg(F.sum("n_docs").alias("n_docs"))
+        """``(line_key, n_docs)`` over all batches; of keys that a caller left out as settled, what was added."""
+        return self._merged(self.names)
 
     def _forget(self, names: list[str]) -> None:
         for name in names:
@@ -140,14 +157,15 @@ def drop_common_lines(
     """``(doc_id, n_lines, n_dropped, kept_text)`` for every row of ``docs``.
 
     All lines whose key occurs in at least ``min_docs`` rows go, in every row.
-    The rows arrive in ``batches`` batches, all of which are counted before any
-    line goes.  A null or empty text is one empty line, which is never dropped.
+    The rows arrive in ``batches`` batches.  Each merge-anti-joins the runs of those before it, which
+    takes out the keys that already have ``min_docs`` rows in a run, and adds the counts of the
+    others.  No line goes before all batches are in.  A null or empty text is one empty line, which is never dropped.
     Every row is a document, repeated rows too.  An empty table stays empty.
     """
     narrow = written(_keyed(docs, doc_id, text, min_chars, batches), "line-keys", partition_by="batch")
     runs = LineRuns(docs.sparkSession, fan_in=fan_in, buckets=buckets)
     for number in range(batches):
-        runs.add(new_keys(narrow.filter(F.col("batch") == number)))
+        runs.add(runs.unseen(new_keys(narrow.filter(F.col("batch") == number)), min_docs))
     common = written(runs.counts().filter(F.col("n_docs") >= min_docs).select("line_key"), "line-common")
     runs.drop()
     return without_lines(docs, narrow, common, doc_id=doc_id, text=text)
