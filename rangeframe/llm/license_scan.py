@@ -2,11 +2,12 @@
 
 Words that speak of licences or rights are *cues*.  Around each cue of a paragraph
 (lines up to one without a word) a window is cut for each template, a little longer than
-it on both sides, and the template's words are sought there in order.  A window is
-compressed alone, and once with the template as Zstandard raw-content dictionary:
-the more that saves, the more of the wording it has.  Every template of which enough words
-are there at all is compared, the best wording is taken, and cues outside
-of it are looked at again, until none gives another.
+it on both sides.  The window's words are compressed alone, and once with the template's words as
+Zstandard raw-content dictionary: the more bytes that takes off, the higher the template
+ranks.  The ranking is gone down until the exact wording of a template is there, its words sought in
+order; only templates that save the same number of bytes are told apart by their wording.  Nothing is cut off:
+a template whose wording is there is found however low it ranks.  Cues outside of the wordings found are
+looked at again, until none gives another.
 
 Windows recur a great deal, so each task keeps the answers to the last few
 thousand different ones.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -81,6 +82,10 @@ def _plain(text: str) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
 
 
+def _joined(words: Sequence[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "surrogatepass")
+
+
 class Scanner:
     """Templates ready for comparison with blocks."""
 
@@ -90,17 +95,24 @@ class Scanner:
             _LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         self._alone = zstandard.ZstdCompressor(compression_params=frame)
-        self._given = {
-            name: zstandard.ZstdCompressor(
-                compression_params=frame,
-                dict_data=zstandard.ZstdCompressionDict(_plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            )
-            for name, text in templates.items()
-            if len(_plain(text)) >= 8  # Zstandard's least dictionary
-        }
+        given = lambda content: zstandard.ZstdCompressor(
+            compression_params=frame, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        )
+        least = 8  # bytes of Zstandard's least dictionary
+        self._given = {name: given(_plain(text)) for name, text in templates.items() if len(_plain(text)) >= least}
+        worded = {name: _joined(words) for name, words in self.templates.items()}
+        self._worded = {name: given(content) for name, content in worded.items() if len(content) >= least}
         self.compared = lru_cache(maxsize=16384)(self._compared)
+        self.reduction = lru_cache(maxsize=16384)(self._reduction)
+        self._size = lru_cache(maxsize=16384)(lambda have: len(self._alone.compress(_joined(have))))
         self.saving = lru_cache(maxsize=4096)(self._saving)
 
+    def _reduction(self, name: str, have: tuple[str, ...]) -> int:
+        """Bytes that the template's words take off the compressed words; none for a template too short for a dictionary."""
+        if name not in self._worded:
+            return 0
+        return self._size(have) - len(self._worded[name].compress(_joined(have)))
+
     def _saving(self, block: str, name: str) -> float:
         """The share of the compressed size that a template takes off."""
         if name not in self._given:
@@ -131,24 +143,30 @@ def _paragraphs(text: str) -> list[tuple[int, str]]:
 
 
 def _best(scanner: Scanner, have: list[str], cue: int, low: int, high: int, confirmed: bool) -> tuple | None:
-    """The best wording about the word ``cue`` among the words from ``low`` to ``high``: score, template, words from and to, and the rest.
+    """The template that ranks best about the word ``cue`` among the words from ``low`` to ``high``, as
+    ``((bytes saved, wording, template), template, words from and to, share, missing, foreign)``.
 
-    The more of the template's words and the fewer differing ones, the better.
+    With ``confirmed`` it is the first down the ranking whose wording is there.  Among templates that save equally many
+    bytes it is the one with more words and fewer differing ones, then the last by name.
     """
-    best = None
+    ranked = []
     for name, want in scanner.templates.items():
-        if not want:
-            continue
-        reach = len(want) + len(want) // 4 + 4
-        begin = max(low, cue - reach)
-        window = tuple(have[begin : min(high, cue + reach + 1)])
+        if want:
+            reach = len(want) + len(want) // 4 + 4
+            begin = max(low, cue - reach)
+            window = tuple(have[begin : min(high, cue + reach + 1)])
+            ranked.append((scanner.reduction(name, window), name, begin, window))
+    best = None
+    for saved, name, begin, window in sorted(ranked, key=lambda r: (-r[0], r[1])):
+        if best is not None and saved < best[0][0]:
+            break
+        want = scanner.templates[name]
         if confirmed and (Counter(want) & Counter(window)).total() < LEAST_WORDS * len(want):
             continue  # not enough words in any order
         share, first, last, missing, foreign = scanner.compared(name, window)
         if confirmed and share < LEAST_WORDS:
             continue
-        saving = scanner.saving(" ".join(window), name)
-        key = (len(want) - 2 * len(missing) - len(foreign), saving, name)
+        key = (saved, len(want) - 2 * len(missing) - len(foreign), name)
         if best is None or key > best[0]:
             best = (key, name, begin + first, begin + last, share, missing, foreign)
     return best
@@ -174,7 +192,7 @@ def _findings(paragraph: str, scanner: Scanner) -> list[tuple]:
             if found:
                 offers[found[2], found[3], found[1]] = found
         fresh = []
-        for offer in sorted(offers.values(), key=lambda o: (-o[0][0], o[2], -o[0][1], o[1])):
+        for offer in sorted(offers.values(), key=lambda o: (-o[0][0], -o[0][1], o[2], o[1])):
             if all(offer[3] <= a or b <= offer[2] for a, b in [*taken, *fresh]):
                 fresh.append((offer[2], offer[3]))
                 out.append(offer)
@@ -201,7 +219,7 @@ def _findings(paragraph: str, scanner: Scanner) -> list[tuple]:
             stop = paragraph.find("\n", at)
             _, name, _, _, share, missing, foreign = guess
             line = paragraph[start : stop if stop >= 0 else len(paragraph)]
-            rows.append((start, start + len(line), name, guess[0][1], share, missing, foreign, False))
+            rows.append((start, start + len(line), name, scanner.saving(line, name), share, missing, foreign, False))
     return sorted(rows)
 
 
@@ -225,8 +243,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *,
     doc_id, line, start, stop (code points), block, license, saving, share (of the
     template's words), missing, foreign (words), confirmed, exact.
 
-    Texts without a cue, null and empty ones give no row.  Repeated rows give their
-    findings each.  A text may have any number of blocks.  Without templates nothing is found.
+    Texts without a cue, null and empty ones give no row, and neither does an empty table.  Repeated rows give their
+    findings each.  A text may have any number of blocks, and paragraphs any length: only the windows about their
+    cues are compressed and compared.  Templates that save equally many bytes are ranked by their wording, then
+    by name.  Other columns of ``docs`` are not read, so their names may clash.  Without templates nothing is found.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
