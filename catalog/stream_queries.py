@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from rangeframe.operators import directory as d
 from rangeframe.operators import joins
 from rangeframe.operators.layouts import POINT, fit_layout
 from rangeframe.plans.runtime import scratch_path
@@ -49,9 +46,7 @@ def str_directory(spark, sf):
     grid = fit_layout(v.event_points(v.table(spark, sf, "events")), "grid", at=POINT, n_cells=9)
     updates = ingest.directory_stream(_stream(spark, sf), grid, POINT)
     ingest.write_directory_updates(updates, f"{path}/updates", f"{path}/state").awaitTermination()
-    written = spark.read.parquet(f"{path}/updates")
-    latest = F.max_by(F.struct("n_items", *d.RECT_SIDES), "batch").alias("now")
-    return written.groupBy("cell").agg(latest).select("cell", "now.*")
+    return ingest.read_directory(spark, f"{path}/updates")
 
 
 QUERIES = {"str_route": str_route, "str_match": str_match, "str_directory": str_directory}

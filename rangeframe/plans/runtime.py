@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,38 @@ def row_count_up_to(df: DataFrame, cap: int) -> int:
 def broadcast_if_small(df: DataFrame, cap: int) -> DataFrame:
     """Broadcast hint behind a row count; a larger side is left to the join planner."""
     return F.broadcast(df) if row_count_up_to(df, cap) <= cap else df
+
+
+# -- folders; the file system is the one the path names ------------------------
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    place, files = _place(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def seconds_since_change(spark: SparkSession, path: str) -> float:
+    place, files = _place(spark, path)
+    return time.time() - files.getFileStatus(place).getModificationTime() / 1000
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def written_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of the folders whose write was committed."""
+    names = [n for n in child_names(spark, path) if n.startswith(prefix)]
+    return [n[len(prefix) :] for n in names if any(c.startswith("part-") for c in child_names(spark, f"{path}/{n}"))]

@@ -14,13 +14,19 @@ Cells of the adaptive layout (``leaves``) split when an append makes them over-f
 written once more as a part of their own, under new cells, and ``splits/batch=B`` logs where these begin.  Publishing that
 part's directory publishes the split: readers fold the logged splits of published batches into the routing,
 and cells that were split hold nothing any more.
+
+Appends merge small batches by themselves: once a level has ``merge_at`` of them they are written as one batch of the
+next level, whose name and ``merges/batch=B`` (the batches it stands for) are published with its directory.  So after
+``n`` appends there are about ``merge_at * log(n)`` live batches, and a record is rewritten once per level.
+Merged batches stay on storage for ``retain_seconds``, for those who still read them, and are removed by a later
+merge.  One writer at a time may append to a layout; any number may read it.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -44,10 +50,13 @@ from ..operators.layouts import (
 )
 from ..operators.lookup import KeyAt, KeyRange, PointAt, Window, key_query, point_query, rect_query
 from ..schema import drop_unusable
-from .runtime import cut_lineage, row_count_up_to
+from .runtime import cut_lineage, path_exists, remove_folder, row_count_up_to, seconds_since_change, written_folders
 
 CELL_RANGES = 200  # most ranges of cells in a partition filter; beyond it the nearest ranges are joined
 BLOCK_SHARE = 16  # expanded rows of a query, as a rule; so many fewer queries than may be broadcast form a block
+MERGED = "merged-"  # begins the names of batches that stand for others; their level follows
+MERGE_AT = 32  # batches of a level that are merged into one of the next
+RETAIN_SECONDS = 86_400  # how long merged batches stay on storage
 MOST_BLOCKS = 64  # blocks of a batch; beyond it data and queries are shuffled once instead
 
 
@@ -87,6 +96,8 @@ class StoredLayout:
     schema: T.StructType
     version: str
     compacted: tuple[str, ...] = ()  # batches that can no longer be replaced one by one
+    merge_at: int = MERGE_AT
+    retain_seconds: float = RETAIN_SECONDS
 
     # -- writing --
 
@@ -138,36 +149,120 @@ class StoredLayout:
         """Add records under the stored cells; records outside the bounds go to edge cells."""
         if batch in self.compacted:
             raise ValueError(f"batch {batch!r} is part of a compacted one and cannot be replaced")
+        if self.was_merged(batch):
+            raise ValueError(f"batch {batch!r} was merged with others and cannot be replaced")
         if isinstance(self.layout, QuadLeaves) and batch != "base" and self._was_moved(batch):
             raise ValueError(f"records of batch {batch!r} have moved with a split cell and cannot be replaced")
         picked = drop_unusable(df.select(*self.schema.fieldNames()), list(self.at.columns))
         self._add(self.current().assign(picked, self.at), batch)
         if isinstance(self.layout, QuadLeaves):
             self.split()
+        self.merge_batches()
+
+    # -- merging --
+
+    def _merge_log(self) -> DataFrame | None:
+        """``(gone, batch)``: the batches that merged ones stand for, published or not."""
+        if not path_exists(self.spark, f"{self._folder}/merges"):
+            return None
+        kinds = "gone string, batch string"
+        return self.spark.read.schema(kinds).option("basePath", f"{self._folder}/merges").parquet(f"{self._folder}/merges")
+
+    def _gone(self, among: list[str], folders: list[str]) -> list[str]:
+        """Those of the batches ``among`` that some published one stands for; no longer than ``among``."""
+        log, merged = self._merge_log(), [n for n in folders if n.startswith(MERGED)]
+        if log is None or not merged or not among:
+            return []
+        hit = log.filter(F.col("batch").isin(merged) & F.col("gone").isin(among))
+        return sorted({r["gone"] for r in hit.select("gone").collect()})
+
+    def _folders(self) -> list[str]:
+        """Published batches that are still on storage."""
+        return written_folders(self.spark, f"{self._folder}/directory", "batch=")
+
+    def _live_batches(self) -> list[str]:
+        folders = self._folders()
+        gone = set(self._gone(folders, folders))
+        return [n for n in folders if n not in gone]
+
+    def was_merged(self, batch: str) -> bool:
+        """Whether a batch is part of a merged one, and so can no longer be replaced."""
+        return bool(self._gone([batch], self._folders()))
+
+    def merge_batches(self) -> int:
+        """Merge the full levels, lowest first; returns how many batches went into others."""
+        merged, level = 0, 0
+        while True:
+            live = self._live_batches()
+            levels = {n: int(n[len(MERGED) :].split("-")[0]) if n.startswith(MERGED) else 0 for n in live}
+            picked = self._without_largest([n for n in live if levels[n] == level])
+            if len(picked) >= self.merge_at:
+                self._merge(picked, level + 1)
+                merged += len(picked)
+            elif level >= max(levels.values(), default=0):
+                break
+            level += 1
+        if merged:
+            self._remove_merged()
+        return merged
+
+    def _without_largest(self, names: list[str]) -> list[str]:
+        """Without a batch larger than all others together: merging it would rewrite little else."""
+        if len(names) < self.merge_at:
+            return []
+        rows = self._published(names).groupBy("part").agg(F.sum("n_items").alias("n"), F.first("name").alias("name"))
+        sizes = {r["name"]: r["n"] for r in rows.collect()}  # one row per batch of a level
+        return [n for n in names if 2 * sizes.get(n, 0) <= sum(sizes.values())]
+
+    def _merge(self, names: list[str], level: int) -> None:
+        batch = f"{MERGED}{level}-{uuid.uuid4().hex}"
+        parts = self._parts(names)
+        rows = self._live(self._stored_rows().filter(F.col("part").isin(parts)))
+        gone = self.spark.createDataFrame([(n,) for n in names], "gone string")
+        log, splits = self._merge_log(), self._logged()
+        if log is not None:
+            gone = gone.union(log.filter(F.col("batch").isin(names)).select("gone"))
+        gone.coalesce(1).write.parquet(f"{self._folder}/merges/batch={batch}")
+        if splits is not None:
+            splits = splits.filter(F.col("batch").isin(names)).select("start", "cell")
+            splits.coalesce(1).write.parquet(f"{self._folder}/splits/batch={batch}")
+        self._add(rows.select(*self.schema.fieldNames(), "cell"), batch)
+
+    def _remove_merged(self) -> None:
+        """Remove from storage what was merged ``retain_seconds`` ago."""
+        folders = self._folders()
+        log = self._merge_log()
+        since = {n: seconds_since_change(self.spark, f"{self._folder}/directory/batch={n}") for n in folders if n.startswith(MERGED)}
+        old = [n for n, age in since.items() if age >= self.retain_seconds]
+        if log is None or not old:
+            return
+        hit = log.filter(F.col("batch").isin(old) & F.col("gone").isin(folders)).select("gone").distinct()
+        for name in [r["gone"] for r in hit.collect()]:
+            parts = self._parts([name])
+            remove_folder(self.spark, f"{self._folder}/directory/batch={name}")
+            for part in parts:
+                remove_folder(self.spark, f"{self._folder}/data/part={part}")
+            for kind in ("splits", "merges"):
+                remove_folder(self.spark, f"{self._folder}/{kind}/batch={name}")
 
     # -- splitting --
 
     def _logged(self) -> DataFrame | None:
         """``(start, cell, batch)`` of all splits written, published or not."""
-        if not isinstance(self.layout, QuadLeaves) or not self._exists(f"{self._folder}/splits"):
+        if not isinstance(self.layout, QuadLeaves) or not path_exists(self.spark, f"{self._folder}/splits"):
             return None
         kinds = "start bigint, cell int, batch string"
         return self.spark.read.schema(kinds).option("basePath", f"{self._folder}/splits").parquet(f"{self._folder}/splits")
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
-
     def _splits(self) -> list[tuple[int, int]]:
         """``(first code, cell)`` of the published splits; at most two rows per cell."""
         logged = self._logged()
         if logged is None:
             return []
-        published = self._batches().select("batch")
-        return [(r["start"], r["cell"]) for r in logged.join(published, "batch", "left_semi").collect()]
+        return [(r["start"], r["cell"]) for r in logged.filter(F.col("batch").isin(self._live_batches())).collect()]
 
     def _was_moved(self, batch: str) -> bool:
-        known = self._exists(f"{self._folder}/directory/batch={batch}")
+        known = path_exists(self.spark, f"{self._folder}/directory/batch={batch}")
         return known and bool(self._splits())
 
     def current(self) -> Layout:
@@ -217,8 +312,11 @@ class StoredLayout:
         Returns the handle of the new version; the old one stays readable for those
         who hold it.  The batches merged can no longer be replaced one by one.
         """
-        merged = tuple(r["batch"] for r in self._batches().collect())  # one row per batch
-        fresh = StoredLayout(self.spark, self.path, self.current(), self.at, self.schema, uuid.uuid4().hex, self.compacted + merged)
+        merged = self._live_batches()
+        log = self._merge_log()
+        if log is not None:  # what merged batches stand for cannot be replaced either
+            merged += [r["gone"] for r in log.filter(F.col("batch").isin(merged)).select("gone").distinct().collect()]
+        fresh = replace(self, layout=self.current(), version=uuid.uuid4().hex, compacted=self.compacted + tuple(merged))
         fresh._add(self.data().select(*self.schema.fieldNames(), "cell"), batch)
         fresh._publish()
         return fresh
@@ -237,16 +335,20 @@ class StoredLayout:
         # an empty batch leaves no file, and its folder may be the only one
         return self.spark.read.schema(full).option("basePath", f"{self._folder}/data").parquet(f"{self._folder}/data")
 
-    def _published(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/directory")
+    def _published(self, names: list[str] | None = None) -> DataFrame:
+        """Directory rows of live batches, or of those given, with the ``name`` of their batch."""
+        names = self._live_batches() if names is None else names
+        place = f"{self._folder}/directory"
+        rows = self.spark.read.parquet(*(f"{place}/batch={n}" for n in names))
+        return rows.withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), "/batch=([^/]*)/[^/]*$", 1))
 
-    def _batches(self) -> DataFrame:
-        return self._published().select("batch", "part").distinct()
+    def _parts(self, names: list[str] | None = None) -> list[str]:
+        """Parts that hold the records of live batches, or of those given: one per batch."""
+        return [r["part"] for r in self._published(names).select("part").distinct().collect()]
 
     def data(self) -> DataFrame:
         """All records of published batches with their cell; ``cell`` is a partition column."""
-        parts = [r["part"] for r in self._batches().collect()]  # one per batch
-        return self._live(self._stored_rows().filter(F.col("part").isin(parts)).drop("part"))
+        return self._live(self._stored_rows().filter(F.col("part").isin(self._parts())).drop("part"))
 
     def _live(self, rows: DataFrame) -> DataFrame:
         dead = self._dead_cells()
