@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeframe.operators import lookup as l
@@ -12,6 +15,7 @@ from rangeframe.plans.stored import StoredLayout
 from . import views as v
 from .views import sql
 
+MEMBERS = (1, 2, 3, 77, 149, -5, 10_000_019)
 WINDOW = l.Window(100_000.0, 500.0, 300_000.0, 1_500.0)
 
 
@@ -69,6 +73,20 @@ def idx_insert_lookup(spark, sf):
     return _with_appended(spark, sf).lookup(l.KeyRange(100, 150))
 
 
+def idx_membership(spark, sf):
+    """Lookups over a layout with membership filters and an append: keys in one batch, in both, and in none."""
+    stored = StoredLayout.create(v.kv(spark, sf), scratch_path(spark, "members"), "key", at=KEY, n_cells=8, membership=True)
+    stored.append(v.table(spark, sf, "lineitem").selectExpr("l_partkey AS key", "l_orderkey AS value"), "lineitem")
+    answers = [stored.lookup(l.KeyAt(key)).select(F.lit(key).cast("bigint").alias("key"), "value") for key in MEMBERS]
+    return reduce(DataFrame.unionByName, answers)
+
+
+def idx_packed(spark, sf):
+    """Rectangles that touch a window, from a stored layout of packed cells."""
+    stored = StoredLayout.create(v.rects(spark, sf), scratch_path(spark, "packed"), "packed", at=RECT, n_cells=64)
+    return stored.lookup(WINDOW)
+
+
 QUERIES = {
     "kv_point": lambda spark, sf: l.key_query(v.kv(spark, sf), l.KeyAt(77)),
     "kv_range": lambda spark, sf: l.key_query(v.kv(spark, sf), l.KeyRange(100, 150, ordered=True)),
@@ -81,6 +99,8 @@ QUERIES = {
     "idx_len": idx_len,
     "idx_insert": idx_insert,
     "idx_insert_lookup": idx_insert_lookup,
+    "idx_membership": idx_membership,
+    "idx_packed": idx_packed,
 }
 
 _EAST = "east AS (SELECT max(x) AS px, arg_max(y, x) AS py FROM points)"
@@ -114,4 +134,6 @@ ORACLES = {
         _BOTH,
     ),
     "idx_insert_lookup": sql("SELECT value FROM both_kv WHERE key BETWEEN 100 AND 150", _BOTH),
+    "idx_membership": sql(f"SELECT key, value FROM both_kv WHERE key IN {MEMBERS}", _BOTH),
+    "idx_packed": sql(_TOUCH),
 }

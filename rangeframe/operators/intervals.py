@@ -9,6 +9,7 @@ join, and dense regions of codes get more steps than sparse ones.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,40 @@ DIGIT = 4  # bits of a step
 WAYS = 1 << DIGIT
 
 
+def constant_array(numbers: Sequence[float], kind: str) -> Column:
+    """A constant array of numbers, as one literal of the plan."""
+    if not numbers:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+
+
+def bounds_below(
+    v: Column,
+    bounds: Sequence[float],
+    group: Column | None = None,
+    firsts: Sequence[int] = (0,),
+    counts: Sequence[int] | None = None,
+) -> Column:
+    """How many of the sorted ``bounds`` do not exceed ``v``: a binary search in the row; 0 for null.
+
+    With ``group``, only the ``counts[group]`` bounds from place ``firsts[group]`` on are searched.
+    """
+    counts = [len(bounds)] if counts is None else counts
+    most = max(counts, default=0)
+    if not most:
+        return F.lit(0)
+    group = F.lit(0) if group is None else group
+    steps = constant_array([1 << i for i in reversed(range(most.bit_length()))], "int")
+    table = constant_array(list(bounds), "double")
+    first, n = F.get(constant_array(list(firsts), "int"), group), F.get(constant_array(list(counts), "int"), group)
+
+    def go(place: Column, step: Column) -> Column:
+        fits = (place + step <= n) & (F.get(table, first + place + step - 1) <= v)
+        return F.when(fits, place + step).otherwise(place)
+
+    return F.aggregate(steps, F.lit(0), go)
+
+
 def search_tree(starts: list[tuple[int, int]], bits: int) -> tuple[list[int], int]:
     """The tree over sorted ``(first code, cell)``, the first code being 0, and its number of steps.
 

@@ -6,8 +6,10 @@ be computed later for appended records, streams and queries.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +20,12 @@ from ..functions.cells import Bounds
 from ..functions.geometry import Box
 from ..plans.runtime import cut_lineage
 from .directory import key_bounds, point_bounds, read_bounds
-from .intervals import with_interval
+from .intervals import bounds_below, constant_array, with_interval
 from .kdsplit import ROOT, kd_cells
 from .quadleaves import quad_leaves
 
+MOST_ACCURACY = 1_000_000  # bounds the memory of a quantile summary
+QUANTILE_ERRORS = 100  # a bound of packed cells is off by at most this part of a share
 MAX_CELLS = 100_000  # default of ``most_cells``: cells travel with the plan and are listed on the driver
 
 
@@ -254,6 +258,69 @@ class QuadLeaves:
         return QuadLeaves(self.bounds, self.depth, self.capacity, tuple(sorted(latest.items())))
 
 
+@dataclass(frozen=True)
+class Packed:
+    """Sort-tile-recursive cells: slices of equal numbers of centers along x, each cut into tiles along y.
+
+    ``slices`` holds the x at which each slice but the first begins, ``tiles`` for every slice the y at which each
+    of its tiles but the first begins.  Cells follow the data, so they are small where the data are dense, and rectangles
+    of a cell lie close together.  A slice that got more than its share, as its centers have one x, has more tiles.
+    Only centers of one position may make a cell larger; approximate quantiles make cells uneven by a percent or so.
+    """
+
+    slices: tuple[float, ...] = ()
+    tiles: tuple[tuple[float, ...], ...] = ((),)
+    name = "packed"
+
+    @classmethod
+    def fit(cls, df: DataFrame, at: Position, n_cells: int, *, most_cells: int = MAX_CELLS) -> "Packed":
+        """Two aggregates of quantiles and one of counts; an empty table has one cell."""
+        _check_cells(n_cells, most_cells)
+        x, y = at.xy
+        placed = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("NOT isnan(x) AND NOT isnan(y)")
+        side = math.isqrt(n_cells - 1) + 1
+        slices = _distinct(placed.agg(_quantiles("x", side).alias("q")).first()["q"])
+        placed = placed.withColumn("slice", bounds_below(F.col("x"), slices))
+        sizes = {r["slice"]: r["n"] for r in placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = sum(sizes.values())
+        cuts = {s: max(1, round(n_cells * n / total)) for s, n in sizes.items()}
+        kinds = sorted(set(cuts.values()))  # as many quantiles in all as there are cells, at most
+        found = {}
+        if kinds:
+            has = {k: F.col("slice").isin([s for s in cuts if cuts[s] == k]) for k in kinds}
+            wanted = [_quantiles("y", k, has[k]).alias(f"q{k}") for k in kinds]
+            rows = placed.groupBy("slice").agg(*wanted)  # one row per slice
+            found = {r["slice"]: _distinct(r[f"q{cuts[r['slice']]}"]) for r in rows.collect()}
+        return cls(tuple(slices), tuple(tuple(found.get(s, ())) for s in range(len(slices) + 1)))
+
+    @property
+    def n_cells(self) -> int:
+        return sum(len(t) + 1 for t in self.tiles)
+
+    def assign(self, df: DataFrame, at: Position = RECT, cell: str = "cell") -> DataFrame:
+        """Two binary searches in the row, over bounds that travel with the plan."""
+        x, y = at.xy
+        kept = [F.col(f"`{c}`") for c in df.columns if c != cell]
+        state = df.select(*kept, y.cast("double").alias("__y"), bounds_below(x.cast("double"), self.slices).alias("__slice"))
+        counts = [len(t) for t in self.tiles]
+        firsts = list(accumulate(counts, initial=0))[:-1]
+        place = bounds_below(F.col("__y"), [b for t in self.tiles for b in t], F.col("__slice"), firsts, counts)
+        number = F.get(constant_array(firsts, "int"), F.col("__slice")) + F.col("__slice") + place
+        return state.select(*kept, number.alias(cell))
+
+
+def _quantiles(column: str, pieces: int, given: Column | None = None) -> Column:
+    """The bounds between ``pieces`` equal shares."""
+    v = F.col(column) if given is None else F.when(given, F.col(column))
+    if pieces == 1:
+        return F.max(F.array().cast("array<double>"))
+    return F.percentile_approx(v, [i / pieces for i in range(1, pieces)], max(10_000, min(QUANTILE_ERRORS * pieces, MOST_ACCURACY)))
+
+
+def _distinct(bounds: Sequence[float] | None) -> list[float]:
+    return sorted(set(bounds or ()))
+
+
 def _pivots(placed: DataFrame, depth: int) -> list[tuple[int, float, object]]:
     """The least record of each right half, which is the record its parent split at."""
     if depth == 0:
@@ -282,8 +349,8 @@ def _data_bounds(df: DataFrame, at: Position) -> Bounds:
     return read_bounds(point_bounds(df, x=at.columns[0], y=at.columns[1]))
 
 
-LAYOUTS = {"key": KeyChunks, "grid": Grid, "quad": Quad, "kd": KdCells, "leaves": QuadLeaves}
-Layout = KeyChunks | Grid | Quad | KdCells | QuadLeaves
+LAYOUTS = {"key": KeyChunks, "grid": Grid, "quad": Quad, "kd": KdCells, "leaves": QuadLeaves, "packed": Packed}
+Layout = KeyChunks | Grid | Quad | KdCells | QuadLeaves | Packed
 
 
 def fit_layout(df: DataFrame, by: str, *, at: Position, n_cells: int, **options) -> Layout:
@@ -307,9 +374,11 @@ def layout_from_dict(state: dict) -> Layout:
     cls = LAYOUTS[state.pop("layout")]
     if "bounds" in state:
         state["bounds"] = Bounds(**state["bounds"])
-    for name in ("pivots", "starts"):
+    for name in ("pivots", "starts", "tiles"):
         if name in state:
             state[name] = tuple(tuple(p) for p in state[name])
+    if "slices" in state:
+        state["slices"] = tuple(state["slices"])
     return cls(**state)
 
 

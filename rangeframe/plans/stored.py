@@ -20,6 +20,9 @@ next level, whose name and ``merges/batch=B`` (the batches it stands for) are pu
 ``n`` appends there are about ``merge_at * log(n)`` live batches, and a record is rewritten once per level.
 Merged batches stay on storage for ``retain_seconds``, for those who still read them, and are removed by a later
 merge.  One writer at a time may append to a layout; any number may read it.
+
+With ``membership`` every part has filters as well, in ``filters/part=P``: a lookup of one key or position then
+reads the parts and cells whose filter knows it, and as a rule none at all if it is not there.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,7 @@ from ..functions import geometry as g
 from ..functions.geometry import Box
 from ..operators import directory as d
 from ..operators import joins
+from ..operators import membership as m
 from ..operators.layouts import (
     KeyChunks,
     Layout,
@@ -67,6 +71,11 @@ def cell_ranges(cells: list[int], most: int) -> list[tuple[int, int]]:
     return [(cells[a], cells[b - 1]) for a, b in zip([0, *starts], [*starts, len(cells)])]
 
 
+def _among(cells: list[int]) -> Column:
+    """A partition filter of bounded length that holds for the sorted cells."""
+    return reduce(or_, (F.col("cell").between(a, b) for a, b in cell_ranges(cells, CELL_RANGES)))
+
+
 def query_blocks(asked: list[tuple[int, int]], most: int) -> list[tuple[list[int], int]]:
     """Neighbouring cells with at most ``most`` routed queries together, as ``(cells, pieces)``.
 
@@ -98,17 +107,32 @@ class StoredLayout:
     compacted: tuple[str, ...] = ()  # batches that can no longer be replaced one by one
     merge_at: int = MERGE_AT
     retain_seconds: float = RETAIN_SECONDS
+    membership: bool = False
 
     # -- writing --
 
     @classmethod
     def create(
-        cls, df: DataFrame, path: str, by: str, *, at: Position, n_cells: int, batch: str = "base", **options
+        cls,
+        df: DataFrame,
+        path: str,
+        by: str,
+        *,
+        at: Position,
+        n_cells: int,
+        batch: str = "base",
+        membership: bool = False,
+        **options,
     ) -> "StoredLayout":
-        """Fit a layout to ``df``, write it and return the handle; an older layout at ``path`` is superseded."""
+        """Fit a layout to ``df``, write it and return the handle; an older layout at ``path`` is superseded.
+
+        ``membership`` keeps filters of keys or positions, for which each part is read once more.
+        """
+        if membership and len(at.columns) == 4:
+            raise ValueError("rectangles are not looked up by equality, so they have no membership filters")
         df = drop_unusable(df, list(at.columns))
         layout = fit_layout(df, by, at=at, n_cells=n_cells, **options)
-        stored = cls(df.sparkSession, path.rstrip("/"), layout, at, df.schema, uuid.uuid4().hex)
+        stored = cls(df.sparkSession, path.rstrip("/"), layout, at, df.schema, uuid.uuid4().hex, membership=membership)
         stored.append(df, batch)
         stored._publish()
         return stored
@@ -122,6 +146,7 @@ class StoredLayout:
                 "schema": json.loads(self.schema.json()),
                 "version": self.version,
                 "compacted": list(self.compacted),
+                "membership": self.membership,
             },
             default=str,
         )
@@ -139,6 +164,7 @@ class StoredLayout:
             T.StructType.fromJson(state["schema"]),
             state["version"],
             tuple(state["compacted"]),
+            membership=state.get("membership", False),
         )
 
     @property
@@ -241,7 +267,8 @@ class StoredLayout:
             parts = self._parts([name])
             remove_folder(self.spark, f"{self._folder}/directory/batch={name}")
             for part in parts:
-                remove_folder(self.spark, f"{self._folder}/data/part={part}")
+                for kind in ("data", "filters"):
+                    remove_folder(self.spark, f"{self._folder}/{kind}/part={part}")
             for kind in ("splits", "merges"):
                 remove_folder(self.spark, f"{self._folder}/{kind}/batch={name}")
 
@@ -303,7 +330,12 @@ class StoredLayout:
         part = uuid.uuid4().hex
         order = [self.at.columns[0]]
         colocated(placed, order).write.partitionBy("cell").parquet(f"{self._folder}/data/part={part}")
-        directory = self._directory_of(self._stored_rows().filter(F.col("part") == part))
+        rows = self._stored_rows().filter(F.col("part") == part)
+        if self.membership:
+            filters = m.membership_filters(rows, list(self.at.columns))
+            # a few narrow files, so that the cells in their footers are selective
+            filters.repartitionByRange("cell", "bucket").sortWithinPartitions("cell", "bucket").write.parquet(f"{self._folder}/filters/part={part}")
+        directory = self._directory_of(rows)
         directory.withColumn("part", F.lit(part)).write.mode("overwrite").parquet(f"{self._folder}/directory/batch={batch}")
 
     def compact(self, batch: str = "compacted") -> "StoredLayout":
@@ -362,28 +394,64 @@ class StoredLayout:
         """One row ``(n_items)``, from the directory alone."""
         return d.item_count(self.directory())
 
+    def _touches(self, query: KeyAt | KeyRange | PointAt | Window) -> Column:
+        """Whether a directory row's bounds admit an answer."""
+        if isinstance(query, KeyAt):
+            return F.lit(query.key).between(F.col("min_key"), F.col("max_key"))
+        if isinstance(query, KeyRange):
+            return (F.col("max_key") >= query.low) & (F.col("min_key") <= query.high)
+        if isinstance(query, PointAt):
+            return g.contains_point(Box.of(), F.lit(float(query.x)), F.lit(float(query.y)))
+        return g.intersects(Box.of(), query.box)
+
     def candidate_cells(self, query: KeyAt | KeyRange | PointAt | Window) -> list[int]:
         """Cells that can hold an answer: a small filter over the directory."""
         directory = self.directory().filter(F.col("n_items") > 0)
-        if isinstance(query, KeyAt):
-            hit = F.lit(query.key).between(F.col("min_key"), F.col("max_key"))
-        elif isinstance(query, KeyRange):
-            hit = (F.col("max_key") >= query.low) & (F.col("min_key") <= query.high)
-        elif isinstance(query, PointAt):
-            hit = g.contains_point(Box.of(), F.lit(float(query.x)), F.lit(float(query.y)))
-        else:
-            hit = g.intersects(Box.of(), query.box)
-        return sorted(row["cell"] for row in directory.filter(hit).select("cell").collect())
+        return sorted(row["cell"] for row in directory.filter(self._touches(query)).select("cell").collect())
+
+    def _asked_values(self, query: KeyAt | KeyRange | PointAt | Window) -> list[Column] | None:
+        """What the filters can be asked for: literals of the columns' own types; None for other queries."""
+        if not self.membership or not isinstance(query, KeyAt if len(self.at.columns) == 1 else PointAt):
+            return None
+        literals = [F.lit(query.key)] if isinstance(query, KeyAt) else [F.lit(float(query.x)), F.lit(float(query.y))]
+        given = [f.dataType for f in self.spark.range(0).select(*(v.alias(f"v{i}") for i, v in enumerate(literals))).schema]
+        kinds = [self.schema[c].dataType for c in self.at.columns]
+        if not all(m.comparable(a, b) for a, b in zip(given, kinds)):
+            return None
+        return [v.try_cast(kind) for v, kind in zip(literals, kinds)]
+
+    def candidate_places(self, query: KeyAt | PointAt) -> list[tuple[str, int]]:
+        """``(part, cell)`` that can hold an answer, by the bounds of each part and, where it has them, by its filters."""
+        live = self._live(self._published()).filter((F.col("n_items") > 0) & self._touches(query))
+        places = [(r["part"], r["cell"]) for r in live.select("part", "cell").collect()]  # at most one row per part and cell
+        asked = self._asked_values(query)
+        if not places or asked is None:
+            return sorted(places)
+        place = f"{self._folder}/filters"
+        parts = sorted({part for part, _ in places})
+        filters = self.spark.read.option("basePath", place).parquet(*(f"{place}/part={part}" for part in parts))
+        code = m.hash_of(asked, [self.schema[c].dataType for c in self.at.columns])
+        known = m.may_hold(filters.filter(_among(sorted({cell for _, cell in places}))), code)
+        return sorted(set(places).intersection((r["part"], r["cell"]) for r in known.select("part", "cell").collect()))
+
+    def _at_places(self, places: list[tuple[str, int]]) -> DataFrame:
+        rows = self._stored_rows()
+        by_part: dict[str, list[int]] = {}
+        for part, cell in places:
+            by_part.setdefault(part, []).append(cell)
+        wanted = [(F.col("part") == part) & _among(cells) for part, cells in by_part.items()]  # one per batch
+        return (rows.filter(reduce(or_, wanted)) if wanted else rows.limit(0)).drop("part")
 
     def _pruned(self, cells: list[int]) -> DataFrame:
         data = self.data()
-        if not cells:
-            return data.limit(0)
-        return data.filter(reduce(or_, (F.col("cell").between(a, b) for a, b in cell_ranges(cells, CELL_RANGES))))
+        return data.filter(_among(cells)) if cells else data.limit(0)
 
     def lookup(self, query: KeyAt | KeyRange | PointAt | Window) -> DataFrame:
         """Values that answer one query, reading candidate cells only."""
-        data = self._pruned(self.candidate_cells(query))
+        if self._asked_values(query) is not None:
+            data = self._at_places(self.candidate_places(query))
+        else:
+            data = self._pruned(self.candidate_cells(query))
         columns, value = self.at.columns, self.at.value
         if len(columns) == 1:
             return key_query(data, query, key=columns[0], value=value)
