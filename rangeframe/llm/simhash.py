@@ -139,6 +139,16 @@ def _stars(crowd: DataFrame) -> DataFrame:
     return keyed.join(smallest, ["p", "q", "rest"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def node_links(nodes: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Links ``(a, b)`` among classes ``(node, parts)`` of equal fingerprints that join all near ones."""
+    variants = _variants(nodes, spec)
+    # counted map-side first and joined back: a variant that many nodes share is dealt to several tasks
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(variants.join(shared, "key").select("node", "key", "n"), "simhash-members")
+    links = _pairs(members.filter(F.col("n") <= pair_limit), spec)
+    return links.union(_stars(members.filter(F.col("n") > pair_limit)))
+
+
 def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """``(node, root)``: each class of equal fingerprints with the first row linked to it.
 
@@ -149,13 +159,7 @@ def node_roots(marked: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_
         marked.groupBy("node").agg(F.min(row).alias("least"), F.first("lanes").alias("lanes"), F.first("parts").alias("parts")),
         "simhash-nodes",
     )
-    variants = _variants(nodes, spec)
-    # counted map-side first and joined back: a variant that many nodes share is dealt to several tasks
-    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(variants.join(shared, "key").select("node", "key", "n"), "simhash-members")
-    links = _pairs(members.filter(F.col("n") <= pair_limit), spec)
-    links = links.union(_stars(members.filter(F.col("n") > pair_limit)))
-    roots = connected_components(links)
+    roots = connected_components(node_links(nodes, spec, pair_limit=pair_limit))
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     labelled = written(joined.select("node", "least", F.coalesce("root", "node").alias("label")), "simhash-labels")
     smallest = labelled.groupBy("label").agg(F.min("least").alias("root"))

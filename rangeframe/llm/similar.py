@@ -12,6 +12,10 @@ That is the same for every text and changes the order, not the result.  The
 index grows as the texts do: a fifth of their shingles, of which those that one text alone has
 go once they are counted.
 
+Before that the texts are searched by SimHash: fingerprints of three-word shingles, indexed by
+their one-bit-deletion variants, and the shingles of both texts decide here as well.  SimHash alone would lose pairs
+(two of 64 bits is stricter than a similarity of 0.8), so the index of shingles looks for what it leaves apart.
+
 Texts with the same set of shingles are one node.  Where a shingle is shared by many
 nodes, a few links per node come first.  What they join need not be
 compared any more; all members of different groups are then compared, whatever the
@@ -30,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import map_frames, quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, shingles, words
@@ -168,6 +173,22 @@ def _side(members: DataFrame, name: str) -> DataFrame:
     return members.select([F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in members.columns])
 
 
+def fingerprint_links(texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of texts whose SimHash fingerprints are near and whose shingles are alike.
+
+    Texts of one fingerprint meet its smallest node, which also meets those of the fingerprints near it.
+    """
+    marked = simhash.fingerprints(texts, doc_id="node")
+    # the class's number is its fingerprint, so the parts of all its rows are the same
+    classes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("parts").alias("parts"))
+    classes = written(classes, "similar-prints")
+    named = [classes.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab"]
+    near = simhash.node_links(classes).join(named[0], "a").join(named[1], "b").select("first_a", "first_b")
+    equal = marked.join(classes.select("node", "first"), "node").filter("doc_id <> first").select("first", "doc_id")
+    pairs = near.union(equal).toDF("a", "b")
+    return _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+
+
 def _neighbours(members: DataFrame, texts: DataFrame, crowd_from: int) -> DataFrame:
     """Links of each member of a crowd with the next one, in an order of each key's own."""
     crowd = members.filter(F.col("n") > crowd_from)
@@ -217,8 +238,9 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
 
 def similar_links(texts: DataFrame, crowd_from: int = CROWD) -> DataFrame:
     """Links ``(a, b)`` that give the same groups as all pairs that are alike."""
+    links = fingerprint_links(texts)
     members = _members(texts)
-    links = _neighbours(members, texts, crowd_from)
+    links = links.union(_neighbours(members, texts, crowd_from))
     links = written(links.union(_spokes(members, links, texts, crowd_from)), "similar-links")
     return written(links.union(_rest(members, links, texts)), "similar-links")
 
