@@ -90,8 +90,9 @@ def wrk_indexed_vs_scan(spark, sf):
     ):
         stored = StoredLayout.create(data, f"{base}/{name}", by, at=at, n_cells=16)
         indexed, scanned = stored.match(queries), match(data, queries)
-        differing = w.answers_differ(scanned, indexed).select(F.struct("missing", "surplus").alias("d"))
-        total = w.summary(data, queries, indexed, algorithm=name, workload="indexed")
+        tallies = w.tally(scanned), w.tally(indexed)
+        differing = w.answers_differ(scanned, indexed, tallies=tallies).select(F.struct("missing", "surplus").alias("d"))
+        total = w.summary(data, queries, tallies[1], algorithm=name, workload="indexed")
         row = total.select(F.lit(name).alias("data"), "total_results", differing.scalar().alias("d"))
         rows.append(row.select("data", "total_results", "d.missing", "d.surplus"))
     return w.family(rows)

@@ -61,7 +61,7 @@ BLOCK_SHARE = 16  # expanded rows of a query, as a rule; so many fewer queries t
 MERGED = "merged-"  # begins the names of batches that stand for others; their level follows
 MERGE_AT = 32  # batches of a level that are merged into one of the next
 RETAIN_SECONDS = 86_400  # how long merged batches stay on storage
-MOST_BLOCKS = 64  # blocks of a batch; beyond it data and queries are shuffled once instead
+MOST_BLOCKS = 8  # blocks of a batch, all of them in the driver's memory at once; beyond it data and queries are shuffled once instead
 
 
 def cell_ranges(cells: list[int], most: int) -> list[tuple[int, int]]:
@@ -477,18 +477,18 @@ class StoredLayout:
         broadcast is cut into blocks by the cells that its queries are routed to.  Each block's queries
         are broadcast to its own cells, so every stored row is read where it lies and meets the queries of one
         block.  Only where a single cell has more queries than a block takes is it read once per block.
+        A batch of more than ``MOST_BLOCKS`` would fill the driver with broadcasts and is shuffled with the data instead.
         """
         routed = self.route(queries)
         most = tuning.broadcast_rows if {"k", "px"} & set(queries.columns) and len(self.at.columns) < 4 else max(1, tuning.broadcast_rows // BLOCK_SHARE)
         if row_count_up_to(queries, most) <= most:
             cells = sorted(row["cell"] for row in routed.select("cell").distinct().collect())  # at most one row per cell
             return self._matched(self._pruned(cells), queries, tuning)
-        routed = cut_lineage(routed)
         asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # at most one row per cell
         blocks = query_blocks([(r["cell"], r["n"]) for r in asked], most)
         if sum(pieces for _, pieces in blocks) > MOST_BLOCKS:
             return self._matched(self._pruned([r["cell"] for r in asked]), queries, tuning)
-        found = []
+        routed, found = cut_lineage(routed), []
         for cells, pieces in blocks:
             wanted = routed.filter(F.col("cell").between(cells[0], cells[-1])).select(F.col("qid").alias("__routed"))
             own = queries.join(wanted, F.col("qid").eqNullSafe(F.col("__routed")), "left_semi")
