@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import map_frames, quoted, text_digest, written
-from .components import connected_components
+from .components import connected_components, more_components
 from .shingles import hashes, shingles, words
 
 WORDS = 5
@@ -200,9 +200,9 @@ def _neighbours(members: DataFrame, texts: DataFrame, crowd_from: int) -> DataFr
     return _confirmed(pairs, texts)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the keys that still hold several groups, with their group: ``label``, and the key's largest ``top``."""
-    joined = connected_components(links).withColumnRenamed("node", "m")
+    joined = roots.withColumnRenamed("node", "m")
     with_label = members.join(joined, F.col("node") == F.col("m"), "left").select(*members.columns, F.coalesce("root", "node").alias("label"))
     with_label = written(with_label, "similar-labels")
     per_group = with_label.groupBy(F.col("key").alias("k"), "label").agg(F.count(F.lit(1)).alias("members"))
@@ -210,9 +210,9 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(with_label.join(mixed.filter("groups > 1"), F.col("key") == F.col("k")).drop("k", "groups"), "similar-mixed")
 
 
-def _spokes(members: DataFrame, links: DataFrame, texts: DataFrame, crowd_from: int) -> DataFrame:
+def _spokes(members: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, crowd_from: int) -> DataFrame:
     """Links of a crowd's members with its most linked one, which is near the crowd's original."""
-    crowd = _labelled(members, links).filter(F.col("n") > crowd_from)
+    crowd = _labelled(members, roots).filter(F.col("n") > crowd_from)
     ends = links.select(F.col("a").alias("end")).union(links.select(F.col("b").alias("end")))
     degrees = ends.groupBy("end").agg(F.count(F.lit(1)).alias("links"))
     ranked = crowd.join(degrees, F.col("node") == F.col("end"))
@@ -221,13 +221,13 @@ def _spokes(members: DataFrame, links: DataFrame, texts: DataFrame, crowd_from:
     return _confirmed(_possible(_side(crowd, "x"), _side(hubs, "y"), apart), texts)
 
 
-def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among all members of a key that are in different groups.
 
     Those outside the key's largest group meet all others.  The others are cut into
     blocks, to each of which the former are copied.
     """
-    mixed = _labelled(members, links)
+    mixed = _labelled(members, roots)
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     copied = mixed.filter("label <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
@@ -236,13 +236,17 @@ def _rest(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     return _confirmed(_possible(_side(copied, "x"), _side(dealt, "y"), apart), texts)
 
 
-def similar_links(texts: DataFrame, crowd_from: int = CROWD) -> DataFrame:
-    """Links ``(a, b)`` that give the same groups as all pairs that are alike."""
+def similar_roots(texts: DataFrame, crowd_from: int = CROWD) -> DataFrame:
+    """``(node, root)``: the groups that all pairs give that are alike, of the nodes that have such a pair.
+
+    Groups are kept from step to step, so each step's links are met once.
+    """
     links = fingerprint_links(texts)
     members = _members(texts)
     links = links.union(_neighbours(members, texts, crowd_from))
-    links = written(links.union(_spokes(members, links, texts, crowd_from)), "similar-links")
-    return written(links.union(_rest(members, links, texts)), "similar-links")
+    roots = connected_components(links)
+    roots = more_components(roots, _spokes(members, links, roots, texts, crowd_from))
+    return more_components(roots, _rest(members, roots, texts))
 
 
 def first_of_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pair_limit: int = CROWD) -> DataFrame:
@@ -255,7 +259,7 @@ def first_of_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     marked = _marked(docs, doc_id, text)
     row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     nodes = written(marked.groupBy("node").agg(F.min(row).alias("least")), "similar-nodes")
-    roots = connected_components(similar_links(_node_texts(docs, nodes, doc_id, text), pair_limit))
+    roots = similar_roots(_node_texts(docs, nodes, doc_id, text), pair_limit)
     joined = nodes.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     groups = joined.groupBy(F.coalesce("root", "node").alias("label")).agg(F.min("least").alias("first"))
     firsts = written(groups.select(F.col("first.doc_id").alias("g_id"), F.col("first.mark").alias("g_mark")), "similar-firsts")
