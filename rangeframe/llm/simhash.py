@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, quoted, text_digest, written
+from .common import by_merge, map_frames, quoted, text_digest, written
 from .components import connected_components
 from .shingles import hashes, remixed, shingles, words
 
@@ -107,7 +107,7 @@ def _pairs(members: DataFrame, spec: Spec) -> DataFrame:
     """Verified links ``(a, b)`` among nodes that share a variant."""
     left = members.select("key", F.col("node").alias("a"))
     right = members.select("key", F.col("node").alias("b"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")))
+    met = by_merge(left).join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")))
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.most_bits).select("a", "b").distinct()
 
 
@@ -136,7 +136,7 @@ def _stars(crowd: DataFrame) -> DataFrame:
     keys = [F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "rest"]
     keyed = cut.select("node", *keys)
     smallest = keyed.groupBy("p", "q", "rest").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most")
-    return keyed.join(smallest, ["p", "q", "rest"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return by_merge(keyed).join(smallest, ["p", "q", "rest"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def node_links(nodes: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -144,7 +144,7 @@ def node_links(nodes: DataFrame, spec: Spec = EXACT, *, pair_limit: int = PAIR_L
     variants = _variants(nodes, spec)
     # counted map-side first and joined back: a variant that many nodes share is dealt to several tasks
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(variants.join(shared, "key").select("node", "key", "n"), "simhash-members")
+    members = written(by_merge(variants).join(shared, "key").select("node", "key", "n"), "simhash-members")
     links = _pairs(members.filter(F.col("n") <= pair_limit), spec)
     return links.union(_stars(members.filter(F.col("n") > pair_limit)))
 
