@@ -32,7 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, quoted, text_digest, written
+from ..plans.runtime import row_count_up_to
+from .common import by_merge, map_frames, quoted, text_digest, written
 from .shingles import hashes, remixed, shingles, words
 
 WORDS = 5
@@ -41,6 +42,7 @@ FUNCTIONS = 48
 BITS_PER_VALUE = 16  # of a filter; its length is the next power of two
 MOST_FILTER_BITS = 26  # two to this power, 8 MB; with more values more pass, and the joins sort them out
 LEAST_WINDOW = 3  # windows have at least two to this power shingles
+BROADCAST_ROWS = 100_000  # of the items' minima or shingles; with more of them the documents' ones are merged with them
 _PROBES = 4
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
@@ -119,6 +121,11 @@ def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
     return held.view(np.uint8)
 
 
+def _beside(of_items: DataFrame) -> DataFrame:
+    """A table of items, to be joined with exploded rows of documents, which the planner sizes too low to choose."""
+    return F.broadcast(of_items) if row_count_up_to(of_items, BROADCAST_ROWS) <= BROADCAST_ROWS else by_merge(of_items)
+
+
 def _window_minima(h: np.ndarray, lengths: np.ndarray, powers: list[int], functions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Minima of all windows of all texts of a chunk, as ``(text number, minimum)`` arrays.
 
@@ -208,13 +215,13 @@ def find_leaks(
     found = found.dropDuplicates(["doc_id", "mark"])
 
     candidates = (
-        found.select("doc_id", "mark", F.explode("hits").alias("value")).join(written(minima, "leak-minima"), "value")
+        found.select("doc_id", "mark", F.explode("hits").alias("value")).join(_beside(written(minima, "leak-minima")), "value")
         .select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), F.col("content").alias("c_content")).distinct()
     )
     by_shingle = written(prepared.select("content", F.explode("shingles").alias("shingle")), "leak-shingles")
     shared = (
         found.select("doc_id", "mark", F.explode("shared").alias("shingle"))
-        .join(by_shingle, "shingle")
+        .join(_beside(by_shingle), "shingle")
         .groupBy("doc_id", "mark", "content")
         .agg(F.count(F.lit(1)).alias("n_shared"))
     )

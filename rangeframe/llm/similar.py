@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import map_frames, quoted, text_digest, written
+from .common import by_merge, map_frames, quoted, text_digest, written
 from .components import connected_components, more_components
 from .shingles import hashes, shingles, words
 
@@ -139,7 +139,7 @@ def _members(texts: DataFrame) -> DataFrame:
     keys = written(map_frames(texts, batches, "node bigint, size int, at int, key bigint"), "similar-keys")
     # written, so that the planner knows how few keys are shared before it joins them
     counted = written(keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "similar-shared")
-    return written(keys.join(counted, F.col("key") == F.col("k")).drop("k"), "similar-members")
+    return written(by_merge(keys).join(counted, F.col("key") == F.col("k")).drop("k"), "similar-members")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _possible(x: DataFrame, y: DataFrame, on) -> DataFrame:
     part, whole = ALIKE
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     enough = (part + whole) * left >= part * (F.col("x_size") + F.col("y_size"))
-    met = x.join(y, on & enough & (F.col("x") != F.col("y")))
+    met = by_merge(x).join(y, on & enough & (F.col("x") != F.col("y")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -207,7 +207,7 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     with_label = written(with_label, "similar-labels")
     per_group = with_label.groupBy(F.col("key").alias("k"), "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = per_group.groupBy("k").agg(F.max(F.struct("members", "label")).getField("label").alias("top"), F.count(F.lit(1)).alias("groups"))
-    return written(with_label.join(mixed.filter("groups > 1"), F.col("key") == F.col("k")).drop("k", "groups"), "similar-mixed")
+    return written(by_merge(with_label).join(mixed.filter("groups > 1"), F.col("key") == F.col("k")).drop("k", "groups"), "similar-mixed")
 
 
 def _spokes(members: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, crowd_from: int) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from rangeframe.llm import simhash
+from rangeframe.llm import decontaminate, simhash, similar
 
 
 def noting(monkeypatch, module):
@@ -28,13 +28,13 @@ def final_plan(df) -> str:
 
 
 def broadcast_with(plan: str, node: str) -> list[str]:
-    """The broadcast parts of a plan that hold such a node."""
+    """The broadcast parts of a plan that hold such a node, down to the first shuffle, whose rows Spark has measured."""
     lines, found = plan.splitlines(), []
     depths = [re.search(r"[A-Za-z*]", line).start() if re.search(r"[A-Za-z*]", line) else 0 for line in lines]
     for at, line in enumerate(lines):
         if "BroadcastExchange" in line:
             end = next((k for k in range(at + 1, len(lines)) if depths[k] <= depths[at]), len(lines))
-            part = "\n".join(lines[at:end])
+            part = "\n".join(lines[at:end]).split("ShuffleQueryStage")[0]
             found += [part] if node in part else []
     return found
 
@@ -55,3 +55,33 @@ def test_fingerprint_index_is_merged(spark, monkeypatch, pair_limit):
     assert [b for p in plans for b in broadcast_with(p, "Generate explode")] == []
     assert any("Generate explode" in p and "SortMergeJoin" in p for p in plans)
     assert "BroadcastHashJoin" not in "".join(plans)
+
+
+def test_members_of_a_shingle_are_merged(spark, monkeypatch):
+    """Their files are small by dictionaries, and each block of a crowd gets a copy of those outside its largest group."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    docs = [(n, " ".join(f"w{k}" for k in range(60)) + f" a{n % 9} b{n % 9} c{n} d{n}" + " z" * (n % 3)) for n in range(60)]
+    texts = similar.written(spark.createDataFrame(docs, "node bigint, text string"), "test-texts")
+    plans = noting(monkeypatch, similar)
+    members = similar._members(texts)
+    roots = spark.createDataFrame([(n, n % 9) for n in range(60)], "node bigint, root bigint")
+    assert similar._rest(members, roots, texts).count()
+    assert any("x_key" in p for p in plans)
+    assert [b for p in plans for b in broadcast_with(p, "Generate explode")] == []
+    merged = [line for p in plans for line in p.splitlines() if re.search(r"Join \[(x_)?key#", line)]
+    assert len(merged) >= 3 and all("SortMergeJoin" in line for line in merged)
+
+
+def test_hits_of_documents_are_not_broadcast(spark, monkeypatch):
+    """Items are broadcast when they are counted as few, and merged with the documents' hits when not."""
+    rng = random.Random(2)
+    items = [(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for n in range(60)]
+    docs = [(1, " ".join(text for _, text in items[:20])), (2, "nothing of that"), (None, items[30][1])]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for most, joined in ((decontaminate.BROADCAST_ROWS, "BroadcastHashJoin [shingle#"), (0, "SortMergeJoin [shingle#")):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        leaks = decontaminate.find_leaks(*tables)
+        plan = final_plan(leaks)
+        assert "Generate explode" in plan and joined in plan
+        assert broadcast_with(plan, "Generate explode(shared") + broadcast_with(plan, "Generate explode(hits") == []
+        assert sorted(r["item_id"] for r in leaks.collect()) == [*range(20), 30]
