@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 
-from rangeframe.llm import decontaminate, simhash, similar
+from rangeframe.llm import common, decontaminate, simhash, similar
 
 
 def noting(monkeypatch, module):
@@ -85,3 +87,18 @@ def test_hits_of_documents_are_not_broadcast(spark, monkeypatch):
         assert "Generate explode" in plan and joined in plan
         assert broadcast_with(plan, "Generate explode(shared") + broadcast_with(plan, "Generate explode(hits") == []
         assert sorted(r["item_id"] for r in leaks.collect()) == [*range(20), 30]
+
+
+def test_shuffles_end_with_what_they_were_for(spark):
+    """What a step shuffled is off the disk once its table is written, and the session's own setting is back."""
+    before = spark.conf.get(common.DROP_SHUFFLES, None)
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
+    known = files()
+    rows = common.written(spark.range(10_000).selectExpr("id % 1000 AS k").groupBy("k").count(), "test-counts")
+    for _ in range(50):
+        if files() <= known:
+            break
+        time.sleep(0.2)
+    assert files() <= known
+    assert rows.count() == 1000 and spark.conf.get(common.DROP_SHUFFLES, None) == before
